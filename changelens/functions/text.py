@@ -13,9 +13,9 @@ from changelens import labels
 
 # Characters at which a text is cut into lines (besides a plain newline).
 _LINE_ENDS = r"\r\n|[\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"
-WORD = r"[\p{L}\p{N}_]++"
-IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"
-IDENTIFIER_3 = "^[A-Za-z_][A-Za-z0-9_]{2,}$"
+# A word next to an accented letter is not an identifier, hence the Unicode boundaries.
+IDENTIFIER = r"(?<![\p{L}\p{N}_])[A-Za-z_][A-Za-z0-9_]*+(?![\p{L}\p{N}_])"
+IDENTIFIER_3 = r"(?<![\p{L}\p{N}_])[A-Za-z_][A-Za-z0-9_]{2,}+(?![\p{L}\p{N}_])"
 
 
 def _c(col) -> Column:
@@ -54,13 +54,8 @@ def replace_first(col, needle: str, new: str) -> Column:
 
 
 def identifiers(col, pattern: str = IDENTIFIER) -> Column:
-    """Identifier tokens in order, duplicates kept.
-
-    Words are cut on Unicode letters and digits first, so a word that merely
-    contains ASCII letters next to an accent is not an identifier.
-    """
-    words = F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), F.lit(WORD), F.lit(0))
-    return F.filter(words, lambda w: w.rlike(pattern))
+    """Identifier tokens in order, duplicates kept."""
+    return F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), F.lit(pattern), F.lit(0))
 
 
 def words_3(col) -> Column:

@@ -21,6 +21,7 @@ def local_session(name: str = "changelens", cores: int | str = "*") -> SparkSess
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", os.environ.get("CHANGELENS_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in SETTINGS.items():
         spark = spark.config(key, value)
