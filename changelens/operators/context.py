@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens import labels as L
@@ -55,6 +55,15 @@ def rank_exemplars(exemplars, limit: int) -> Column:
     return F.slice(F.transform(ordered, lambda r: r["x"]), 1, limit)
 
 
+def best_first(df: DataFrame, by: list[str], limit: int, tie: str) -> DataFrame:
+    """The same order over rows: the best ``limit`` rows per group.
+
+    The rank filter limits each task's rows per group before the exchange.
+    """
+    w = Window.partitionBy(*by).orderBy(F.desc(F.coalesce("rerank_score", "similarity", F.lit(0.0))), tie)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
 def fit_budget(items, size, budget) -> Column:
     """Take items in order while they fit; one that does not fit is skipped and later ones may still fit.
 

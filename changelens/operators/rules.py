@@ -80,8 +80,8 @@ def association_rules(sets: DataFrame, min_count: int = 1) -> DataFrame:
             F.col("n").alias("n_xc")).select("r.*", "n_xc")
         part = joint.join(left, "antecedent").join(single, "consequent").crossJoin(F.broadcast(total))
         out = part if out is None else out.unionByName(part)
-    conf = F.col("n_xc").cast("double") / F.col("n_x")
-    lift = conf * F.col("n_cases") / F.col("n_c")
+    n_xc, n_x, n_c, n = (F.col(c).cast("double") for c in ("n_xc", "n_x", "n_c", "n_cases"))
+    conf, lift = n_xc / n_x, n_xc * n / (n_x * n_c)
     return out.select("antecedent", "consequent", "n_xc", conf.alias("confidence"), lift.alias("lift"), (lift * conf).alias("score"))
 
 
