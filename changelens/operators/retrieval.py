@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from changelens import labels as L
 from changelens.functions import vectors as V
+from changelens.functions.rows import pos_rows
 
 MAX_BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 32768
@@ -177,7 +178,7 @@ def retrieve_for_types(queries: DataFrame, index: DataFrame, k: int = 5, top_n:
         return top.select("query_id", "label", "row_id", "sim", "rank")
     items = top.groupBy("query_id", "label").agg(
         F.array_sort(F.collect_list(F.struct("rank", "row_id", "sim", "vec"))).alias("items"))
-    picked = items.select("query_id", "label", F.posexplode(V.mmr("items", k, lam)).alias("pos", "x"))
+    picked = pos_rows(items, V.mmr("items", k, lam), "query_id", "label")
     return picked.select("query_id", "label", F.col("x.row_id").alias("row_id"), F.col("x.sim").alias("sim"),
                          (F.col("pos") + 1).alias("rank"))
 

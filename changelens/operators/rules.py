@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from changelens import labels as L
 from changelens.config import EngineConfig, adaptive_cap
+from changelens.functions.rows import let, rows
 from changelens.functions.text import _c
 
 MAX_HINT_EDGES = 10_000
 
 
-def label_sets(rows: DataFrame, key: str = "case_id", label: str = "label") -> DataFrame:
+def label_sets(labelled: DataFrame, key: str = "case_id", label: str = "label") -> DataFrame:
     """Distinct label sets with the number of cases that have them: ``(labels, n)``."""
-    per_case = rows.groupBy(key).agg(F.array_sort(F.collect_set(label)).alias("labels"))
+    per_case = labelled.groupBy(key).agg(F.array_sort(F.collect_set(label)).alias("labels"))
     return per_case.groupBy("labels").agg(F.count("*").alias("n"))
 
 
@@ -34,7 +35,7 @@ def _subsets(labels, size: int) -> Column:
 
 
 def itemset_counts(sets: DataFrame, size: int) -> DataFrame:
-    items = sets.select(F.explode(_subsets("labels", size)).alias("items"), "n")
+    items = rows(sets, _subsets("labels", size), "n", name="items")
     return items.groupBy("items").agg(F.sum("n").alias("n"))
 
 
@@ -90,9 +91,9 @@ def rule_strengths(sets: DataFrame, rules: DataFrame, labels: str = "labels") ->
 
     Labels no rule reaches are absent; read them as 0.
     """
-    keys = sets.select(labels).distinct().select(labels, F.explode(F.transform(
+    keys = rows(sets.select(labels).distinct(), F.transform(
         F.concat(_subsets(F.array_sort(labels), 1), _subsets(F.array_sort(labels), 2)),
-        lambda s: F.array_join(s, "|"))).alias("antecedent"))
+        lambda s: F.array_join(s, "|")), labels, name="antecedent")
     hit = keys.join(rules.select("antecedent", F.col("consequent").alias("target"), "score"), "antecedent")
     return hit.groupBy(labels, "target").agg(F.max("score").alias("strength"))
 
@@ -101,11 +102,11 @@ def rule_strengths(sets: DataFrame, rules: DataFrame, labels: str = "labels") ->
 
 def hint_dict(edges: DataFrame) -> dict[str, list[str]]:
     """Hint edges ``(src, ord, dst)`` as a dictionary; the label dictionary must be small."""
-    rows = edges.select("src", "ord", "dst").limit(MAX_HINT_EDGES + 1).collect()
-    if len(rows) > MAX_HINT_EDGES:
+    known = edges.select("src", "ord", "dst").limit(MAX_HINT_EDGES + 1).collect()
+    if len(known) > MAX_HINT_EDGES:
         raise ValueError(f"more than {MAX_HINT_EDGES} hint edges: join them instead")
     book: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["src"], r["ord"])):
+    for r in sorted(known, key=lambda r: (r["src"], r["ord"])):
         book.setdefault(r["src"], []).append(r["dst"])
     return book
 
@@ -126,14 +127,12 @@ def vote_candidates(detected, hints: dict[str, list[str]], cap: int | Column | N
     found = _c(detected)
     empty = F.array().cast("array<string>")
     books = [hint_map(h) for h in (hints, hybrid) if h]
-    votes = F.flatten(F.transform(found, lambda t: F.concat(*[F.coalesce(F.try_element_at(b, t), empty) for b in books])))
+    votes = F.flatten(F.transform(found, lambda t: F.concat(empty, *[F.coalesce(F.try_element_at(b, t), empty) for b in books])))
     open_votes = F.filter(votes, lambda c: ~F.array_contains(found, c))
-    ranked = F.array_sort(F.transform(F.array_distinct(open_votes), lambda c: F.struct(
-        (-F.size(F.filter(open_votes, lambda v: v == c))).alias("minus_votes"), c.alias("label"))))
-    primary = F.transform(ranked, lambda r: r["label"])
-    backup = F.filter(F.array(*[F.lit(a) for a in (always or [])]).cast("array<string>"),
-                      lambda c: ~F.array_contains(found, c) & ~F.array_contains(primary, c))
-    both = F.concat(primary, backup)
+    ranked = let(open_votes, lambda vs: F.array_sort(F.transform(F.array_distinct(vs), lambda c: F.struct(
+        (F.size(F.array_remove(vs, c)) - F.size(vs)).alias("minus_votes"), c.alias("label")))))
+    backup = F.array_except(F.array(*[F.lit(a) for a in (always or [])]).cast("array<string>"), found)
+    both = F.array_union(F.transform(ranked, lambda r: r["label"]), backup)
     return both if cap is None else F.slice(both, F.lit(1), cap if isinstance(cap, Column) else F.lit(cap))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelens import labels as L
+from changelens.functions.rows import rows as unnest
 from changelens.functions.text import _c, is_known_type, normalize_type
 
 
@@ -43,12 +44,14 @@ def case_metrics(df: DataFrame, predicted: str, truth: str, mode: str = "normali
     pred, gt = label_sets(predicted, truth, mode)
     out = df.withColumn("_p", pred).withColumn("_g", gt)
     key = normalize_type if mode == "normalized" else (lambda x: x)
-    p_keys, g_keys = F.transform("_p", key), F.transform("_g", key)
-    out = out.withColumn("matched", F.filter("_p", lambda t: F.array_contains(g_keys, key(t))))
-    out = out.withColumn("missed", F.filter("_g", lambda t: ~F.array_contains(p_keys, key(t))))
-    out = out.withColumn("false_alarms", F.filter("_p", lambda t: ~F.array_contains(g_keys, key(t))))
+    out = out.withColumn("_pk", F.transform("_p", key)).withColumn("_gk", F.transform("_g", key))
+    shared = lambda own, other: (lambda _t, i: F.array_contains(other, F.get(own, i)))
+    absent = lambda own, other: (lambda _t, i: ~F.array_contains(other, F.get(own, i)))
+    out = out.withColumn("matched", F.filter("_p", shared("_pk", "_gk")))
+    out = out.withColumn("missed", F.filter("_g", absent("_gk", "_pk")))
+    out = out.withColumn("false_alarms", F.filter("_p", absent("_pk", "_gk")))
     return (out.withColumn("tp", F.size("matched")).withColumn("fp", F.size("false_alarms"))
-            .withColumn("fn", F.size("missed")).drop("_p", "_g"))
+            .withColumn("fn", F.size("missed")).drop("_p", "_g", "_pk", "_gk"))
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -80,7 +83,7 @@ def type_counts(df: DataFrame, predicted: str, truth: str, *by: str, mode: str =
     key = normalize_type if mode == "normalized" else (lambda x: x)
     both = df.select(*by, F.array_distinct(F.transform(pred, key)).alias("p"),
                      F.array_distinct(F.transform(gt, key)).alias("g"))
-    rows = both.select(*by, "p", "g", F.explode(F.array_union("p", "g")).alias("type"))
+    rows = unnest(both, F.array_union("p", "g"), *by, "p", "g", name="type")
     in_p, in_g = F.array_contains("p", F.col("type")), F.array_contains("g", F.col("type"))
     return rows.groupBy(*by, "type").agg(
         F.count_if(in_p & in_g).alias("tp"), F.count_if(in_p & ~in_g).alias("fp"),
@@ -106,7 +109,7 @@ def macro_accuracy(per_type_rows: DataFrame) -> DataFrame:
 
 def undefined_counts(df: DataFrame, predicted: str) -> DataFrame:
     """Predicted labels outside the label space, most frequent first."""
-    unknown = df.select(F.explode(F.filter(_c(predicted), lambda t: ~is_known_type(t))).alias("type"))
+    unknown = unnest(df, F.filter(_c(predicted), lambda t: ~is_known_type(t)), name="type")
     return unknown.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from changelens import labels as L
 from changelens.functions import diffs, replies as P, text as X
+from changelens.functions.rows import inline_rows, pos_rows
 from changelens.operators import filters, signals, structure
 from changelens.operators.context import format_case
 from changelens.plans import derived as D
@@ -17,14 +18,14 @@ def _paired(spark, d):
 
 
 def diff_hunks(spark, d):
-    hunks = cases(spark, d).select("case_id", F.posexplode(diffs.hunks("commit_diff")).alias("hunk", "h"))
+    hunks = pos_rows(cases(spark, d), diffs.hunks("commit_diff"), "case_id", names=("hunk", "h"))
     return hunks.select("case_id", F.col("hunk").cast("bigint").alias("hunk"), "h.file",
                         F.size(diffs.body_lines(F.col("h.body"))).cast("bigint").alias("n_lines"),
                         F.md5("h.body").alias("body_md5"))
 
 
 def run_pairing(spark, d):
-    return _paired(spark, d).select("case_id", F.inline("pairs"))
+    return inline_rows(_paired(spark, d), "pairs", "case_id")
 
 
 def token_rename_votes(spark, d):
@@ -37,7 +38,7 @@ def self_prefix_swaps(spark, d):
 
 def _moves(spark, d, sign):
     base = cases(spark, d).withColumn("hunks", diffs.hunks("commit_diff"))
-    return base.select("case_id", F.inline(diffs.assignment_moves("hunks", sign))).select(
+    return inline_rows(base, diffs.assignment_moves("hunks", sign), "case_id").select(
         "case_id", "var", "expr", F.col("hits").cast("bigint").alias("hits"))
 
 
@@ -50,15 +51,15 @@ def inlining_hits(spark, d):
 
 
 def condition_inversions(spark, d):
-    return _paired(spark, d).select("case_id", F.inline(diffs.inversions("pairs")))
+    return inline_rows(_paired(spark, d), diffs.inversions("pairs"), "case_id")
 
 
 def condition_splits(spark, d):
-    return _paired(spark, d).select("case_id", F.inline(diffs.splits("hunks")))
+    return inline_rows(_paired(spark, d), diffs.splits("hunks"), "case_id")
 
 
 def annotation_changes(spark, d):
-    return _paired(spark, d).select("case_id", F.inline(diffs.type_changes("pairs")))
+    return inline_rows(_paired(spark, d), diffs.type_changes("pairs"), "case_id")
 
 
 def signal_blocks(spark, d):
@@ -105,12 +106,12 @@ def _numbered(items, kind):
 
 def reply_two_step(spark, d):
     r = D.replies(spark, d).select("case_id", P.parse_two_step("reply").alias("p"))
-    return r.select("case_id", F.inline(F.concat(_numbered("p.defined", "defined"), _numbered("p.undefined", "undefined"))))
+    return inline_rows(r, F.concat(_numbered("p.defined", "defined"), _numbered("p.undefined", "undefined")), "case_id")
 
 
 def reply_confidences(spark, d):
-    r = D.replies(spark, d).select("case_id", F.explode(P.parse_confidences("verified")).alias("type", "confidence"))
-    return r.select("case_id", "type", F.col("confidence").cast("bigint").alias("confidence"))
+    r = inline_rows(D.replies(spark, d), F.map_entries(P.parse_confidences("verified")), "case_id")
+    return r.select(F.col("case_id"), F.col("key").alias("type"), F.col("value").alias("confidence")).select("case_id", "type", F.col("confidence").cast("bigint").alias("confidence"))
 
 
 def prompt_text(spark, d):

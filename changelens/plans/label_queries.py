@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from changelens import labels as L
 from changelens.config import EngineConfig
 from changelens.functions import text as X
+from changelens.functions.rows import pos_rows, rows
 from changelens.operators import filters, rules, scoring
 from changelens.plans import derived as D
 from changelens.plans.derived import cases, runs, table
@@ -81,7 +82,7 @@ def event_tracks(spark, d):
 def _detections(spark, d):
     """Each predicted label of the base run with a confidence (none for some)."""
     r = runs(spark, d).where("track = 'base'")
-    return r.select("case_id", F.posexplode("predicted").alias("ord", "type")).withColumn(
+    return pos_rows(r, "predicted", "case_id", names=("ord", "type")).withColumn(
         "confidence", F.when(F.col("ord") > 0, F.length("case_id") * 20 + F.col("ord")))
 
 
@@ -182,7 +183,7 @@ def confusion_targets(spark, d):
 
 def level_rollup(spark, d):
     """Predicted labels per level."""
-    r = runs(spark, d).select("track", F.explode("predicted").alias("type"))
+    r = rows(runs(spark, d), "predicted", "track", name="type")
     return r.groupBy("track", F.coalesce(X.level_of("type"), F.lit("none")).alias("level")).agg(F.count("*").alias("n"))
 
 
