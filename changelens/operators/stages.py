@@ -24,13 +24,14 @@ from changelens.functions.diffs import context_window
 from changelens.operators import context as C
 from changelens.operators import filters, rules, setops
 from changelens.operators.signals import compute_signals, signal_tags, signals_xml
-from changelens.operators.structure import compute_facts, facts_summary, facts_xml
+from changelens.operators.structure import SUMMARY, SUMMARY_TYPE, compute_facts, facts_summary, facts_xml
 from changelens.plans.session import checkpoint_dir
 
 ModelFn = Callable[[str, str, float], str]  # system text, user text, temperature -> reply
 BATCH = 5
 TEMPERATURES = [0.0, 0.2, 0.4, 0.6]
 _PAIRS = "array<struct<type:string,evidence:string>>"
+_ROW = ["case_id", "ord", "type", "evidence", "confidence"]
 
 
 @dataclass(frozen=True)
@@ -77,7 +78,7 @@ def attach_facts(cases: DataFrame, cfg: EngineConfig, extractors: dict | None =
     """
     sources = [] if cfg.disable_facts else [s.strip() for s in cfg.facts_sources.lower().split("+") if s.strip()]
     books = {"ast": None, **(extractors or {})}
-    out = cases.withColumn("facts", F.lit(None)).withColumn("tags", F.lit(None).cast("array<string>"))
+    out = cases.withColumn("facts", F.lit(None).cast(SUMMARY_TYPE)).withColumn("tags", F.lit(None).cast("array<string>"))
     blocks, unknown = [], [s for s in sources if s not in books and s != "intra"]
     for i, name in enumerate(s for s in sources if s not in unknown):
         if name == "intra":
@@ -88,7 +89,7 @@ def attach_facts(cases: DataFrame, cfg: EngineConfig, extractors: dict | None =
             extractor = {} if books[name] is None else {"extractor": books[name]}
             facts = compute_facts(cases, cfg.gate_mode, **extractor)
             summary = facts_summary(facts)
-            packed = summary.select("case_id", F.struct(*[c for c in summary.columns if c != "case_id"]).alias("_f"))
+            packed = summary.select("case_id", F.struct(*SUMMARY).alias("_f"))
             out = out.join(facts_xml(facts).withColumnRenamed("facts_xml", f"_b{i}"), "case_id", "left").join(packed, "case_id", "left")
             out = out.withColumn("facts", F.col("_f")).drop("_f")
         blocks.append(f"_b{i}")
@@ -191,11 +192,10 @@ def _gate_additions(base: DataFrame, cfg: EngineConfig, rule_rows: DataFrame) ->
     rows = base.select("case_id", F.array_sort("stage2_types").alias("labels"), "stage2_types", "facts", "tags",
                        F.posexplode("additions").alias("i", "a"))
     strengths = rules.rule_strengths(rows.select("labels"), rule_rows)
-    rated = rows.join(strengths.withColumnRenamed("target", "_t"), (F.col("a.type") == F.col("_t")) & (rows["labels"] == strengths["labels"]), "left")
-    kinds = F.col("facts.kinds") if "kinds" in str(base.schema["facts"].dataType.simpleString()) else F.array().cast("array<string>")
+    rated = rows.withColumn("target", F.col("a.type")).join(strengths, ["labels", "target"], "left")
     reason = filters.addition_reason(
         F.col("a.type"), F.col("stage2_types"), F.coalesce("strength", F.lit(0.0)),
-        F.coalesce(kinds, F.array().cast("array<string>")), F.coalesce("tags", F.array().cast("array<string>")),
+        F.coalesce("facts.kinds", F.array().cast("array<string>")), F.coalesce("tags", F.array().cast("array<string>")),
         cfg.rule_strength_tau, cfg.gate_mode)
     kept = rated.where(reason.isNull()).groupBy("case_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda x: x["a"]).alias("_kept"))
@@ -286,14 +286,14 @@ def run_stages(cases: DataFrame, model: ModelFn, cfg: EngineConfig, prompts: Pro
         base = find_missing(base, model, cfg, prompts, history, rule_rows, hints)
         rows = verify(base, model, cfg, prompts)
         if cfg.precision_mode:
-            rows = filters.confidence_gate(rows, history, cfg.hard_block_precision, cfg.confidence_threshold).where("reason is null")
+            rows = filters.confidence_gate(rows, history, cfg.hard_block_precision, cfg.confidence_threshold).where(
+                "reason is null").select(*_ROW)
             if cfg.struct_gates:
                 joined = rows.join(base.select("case_id", "code_diff", "facts", "tags"), "case_id")
-                rows = joined.where(filters.structural_gate("type", "evidence", "code_diff", "facts", "tags", cfg.gate_mode)).select(
-                    "case_id", "ord", "type", "evidence", "confidence")
+                rows = joined.where(filters.structural_gate("type", "evidence", "code_diff", "facts", "tags", cfg.gate_mode)).select(*_ROW)
         if cfg.citation_check:
             joined = rows.join(base.select("case_id", "code_diff"), "case_id")
-            rows = filters.citation(joined, "evidence", "code_diff", cfg.citation_overlap).where("keep")
+            rows = filters.citation(joined, "evidence", "code_diff", cfg.citation_overlap).where("keep").select(*_ROW)
         if cfg.adversarial:
             rows = challenge(rows, base, model, cfg, prompts)
         if cfg.evidence_review:

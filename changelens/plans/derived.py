@@ -137,7 +137,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(case_id, track, predicted, truth)``: one row per case and run that covers it."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     per_run = F.array(*[
         F.struct(F.lit(name).alias("track"), F.expr(f"({RUN_CASES[name]})").alias("covered"),
                  F.expr(spark_labels(pairs)).alias("predicted")) for name, pairs in RUNS.items()])

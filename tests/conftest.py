@@ -1,6 +1,14 @@
+import os
+import sys
+
 import pytest
 
-from changelens.plans.session import local_session
+HERE = os.path.dirname(os.path.abspath(__file__))
+# task processes import the functions that tests hand to Spark
+os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(HERE), HERE, os.environ.get("PYTHONPATH", "")])
+sys.path[:0] = [os.path.dirname(HERE), HERE]
+
+from changelens.plans.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
