@@ -48,7 +48,7 @@ def pair_stats(sets: DataFrame) -> DataFrame:
         F.struct(F.col("items")[0].alias("a"), F.col("items")[1].alias("b")),
         F.struct(F.col("items")[1].alias("a"), F.col("items")[0].alias("b")))).alias("d")).select("d.*", "n_ab")
     full = (directed.join(single.select(F.col("l").alias("a"), F.col("n").alias("n_a")), "a")
-            .join(single.select(F.col("l").alias("b"), F.col("n").alias("n_b")), "b").crossJoin(F.broadcast(total)))
+            .join(single.select(F.col("l").alias("b"), F.col("n").alias("n_b")), "b").withColumn("n_cases", total.scalar()))
     n, ab, a, b = (F.col(c).cast("double") for c in ("n_cases", "n_ab", "n_a", "n_b"))
     pmi = F.ln(ab * n / (a * b))
     return full.select("a", "b", "n_ab", "n_a", "n_b", (ab / n).alias("support"), (ab / a).alias("confidence"),
@@ -79,7 +79,7 @@ def association_rules(sets: DataFrame, min_count: int = 1) -> DataFrame:
             F.explode(F.transform("items", lambda c: F.struct(
                 F.array_join(F.array_remove("items", c), "|").alias("antecedent"), c.alias("consequent")))).alias("r"),
             F.col("n").alias("n_xc")).select("r.*", "n_xc")
-        part = joint.join(left, "antecedent").join(single, "consequent").crossJoin(F.broadcast(total))
+        part = joint.join(left, "antecedent").join(single, "consequent").withColumn("n_cases", total.scalar())
         out = part if out is None else out.unionByName(part)
     n_xc, n_x, n_c, n = (F.col(c).cast("double") for c in ("n_xc", "n_x", "n_c", "n_cases"))
     conf, lift = n_xc / n_x, n_xc * n / (n_x * n_c)
@@ -164,8 +164,9 @@ def scored_candidates(strengths: DataFrame, sets: DataFrame, types: DataFrame, l
     ``level_priors`` is already reduced to the best prior per label. Ties go to the
     label that sorts last.
     """
-    grid = sets.select("labels").distinct().crossJoin(F.broadcast(types.select(F.col("type").alias("target"))))
-    grid = grid.where(~F.array_contains("labels", F.col("target")))
+    book = types.agg(F.collect_set("type").alias("book"))  # the label dictionary
+    grid = rows(sets.select("labels").distinct().withColumn("book", book.scalar()),
+                F.array_except("book", "labels"), "labels", name="target")
     full = (grid.join(strengths, ["labels", "target"], "left")
             .join(F.broadcast(level_priors.select(F.col("type").alias("target"), F.col("prior").alias("p_level"))), "target", "left")
             .join(F.broadcast(global_priors.select(F.col("type").alias("target"), F.col("prior").alias("p_all"))), "target", "left")

@@ -38,8 +38,8 @@ def global_rank(df: DataFrame, hash_col: str, out: str = "rank") -> DataFrame:
 def group_split(df: DataFrame, group: str, val_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``part``: all rows of a group land in ``train`` or in ``val``."""
     groups = df.select(group).distinct().withColumn("_h", seeded_hash(seed, group))
-    n = groups.agg(F.greatest(F.lit(1), F.floor(F.count("*") * (1.0 - val_fraction))).alias("_cut"))
-    parts = global_rank(groups, "_h", "_r").crossJoin(F.broadcast(n)).select(
+    cut = groups.agg(F.greatest(F.lit(1), F.floor(F.count("*") * (1.0 - val_fraction))).alias("cut"))
+    parts = global_rank(groups, "_h", "_r").withColumn("_cut", cut.scalar()).select(
         group, F.when(F.col("_r") <= F.col("_cut"), "train").otherwise("val").alias("part"))
     return df.join(parts, group)
 

@@ -96,7 +96,7 @@ def per_type(df: DataFrame, predicted: str, truth: str, mode: str = "normalized"
     if "status" in df.columns:
         live = df.where(~F.coalesce("status", F.lit("OK")).isin("SKIPPED", "ERROR"))
     n = live.agg(F.count("*").alias("n_cases"))
-    counts = type_counts(live, predicted, truth, mode=mode).crossJoin(F.broadcast(n))
+    counts = type_counts(live, predicted, truth, mode=mode).withColumn("n_cases", n.scalar())
     full = with_rates(counts.withColumn("tn", F.col("n_cases") - F.col("tp") - F.col("fp") - F.col("fn")))
     full = full.withColumn("accuracy", ratio(F.col("tp") + F.col("tn"), F.col("n_cases")))
     return full.select("type", "tp", "fp", "fn", "tn", *[
@@ -130,19 +130,19 @@ def paired_cases(df: DataFrame, live: list[str] | None = None, track: str = "tra
     are scored on the same cases but do not shrink them.
     """
     is_live = F.lit(True) if live is None else F.col(track).isin(live)
-    tracks = df.where(is_live).select(track).distinct().agg(F.count("*").alias("n_live"))
+    n_live = df.where(is_live).agg(F.count_distinct(track).alias("n_live"))
     # one row per (case, track) before counting, so a repeated case costs nothing extra
     seen = df.where(is_live).select("case_id", track).distinct()
-    common = seen.groupBy("case_id").agg(F.count("*").alias("n")).join(
-        F.broadcast(tracks), F.col("n") == F.col("n_live")).select("case_id")
+    common = seen.groupBy("case_id").agg(F.count("*").alias("n")).where(
+        F.col("n") == n_live.scalar()).select("case_id")
     return df.join(common, "case_id", "left_semi")
 
 
 def deltas(scores: DataFrame, base: str, track: str = "track") -> DataFrame:
     """Rate differences of every track against one of them (one row per track)."""
-    b = scores.where(F.col(track) == base).select(*[F.col(c).alias("base_" + c) for c in ("p", "r", "f1")])
-    return scores.where(F.col(track) != base).crossJoin(F.broadcast(b)).select(
-        track, *[(F.col(c) - F.col("base_" + c)).alias("d_" + c) for c in ("p", "r", "f1")])
+    b = scores.where(F.col(track) == base).select(F.struct("p", "r", "f1").alias("b"))
+    rated = scores.where(F.col(track) != base).withColumn("b", b.scalar())
+    return rated.select(track, *[(F.col(c) - F.col("b")[c]).alias("d_" + c) for c in ("p", "r", "f1")])
 
 
 def best_track(scores: DataFrame, metric: str, track: str = "track", order: str | None = None) -> DataFrame:
@@ -151,9 +151,9 @@ def best_track(scores: DataFrame, metric: str, track: str = "track", order: str
     return scores.orderBy(F.desc(metric), pos.asc()).limit(1).select(F.col(track), F.col(metric))
 
 
-def type_report(counts: DataFrame, types: DataFrame, *by: str) -> DataFrame:
+def type_report(counts: DataFrame, *by: str, types: list[str] = L.KNOWN_TYPES) -> DataFrame:
     """Every known type per group with rates to four places, best first; unseen types are zero."""
-    grid = types.select("type") if not by else counts.select(*by).distinct().crossJoin(F.broadcast(types.select("type")))
+    grid = counts.select(*by).distinct().select(*by, F.explode(F.array(*[F.lit(t) for t in types])).alias("type"))
     full = grid.join(counts, [*by, "type"], "left").na.fill(0, ["tp", "fp", "fn"])
     rated = with_rates(full).select(*by, "type", "tp", "fp", "fn", *[
         F.round(c, 4).alias(a) for c, a in (("p", "precision"), ("r", "recall"), ("f1", "f1"))])

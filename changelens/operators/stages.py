@@ -169,7 +169,8 @@ def find_missing(cases: DataFrame, model: ModelFn, cfg: EngineConfig, prompts: P
     if cfg.precision_mode:
         low = filters.with_history(history.select("type"), history).where(F.col("hist_p") < cfg.precision_floor)
         bad = low.agg(F.collect_set("type").alias("_bad"))  # labels of the label space only
-        base = base.crossJoin(F.broadcast(bad)).withColumn("stage3_targets", F.array_except("stage3_targets", "_bad")).drop("_bad")
+        base = base.withColumn("_bad", bad.scalar()).withColumn(
+            "stage3_targets", F.array_except("stage3_targets", "_bad")).drop("_bad")
     user = _block(X.diff_xml("code_diff"), F.col("facts_xml"), X.detections_xml("stage2_detected", "stage2_defined"),
                   X.candidates_xml("stage3_targets"))
     asked = call_model(_request(base.where(F.size("stage3_targets") > 0), ["case_id"], F.lit(prompts.missing), user, cfg), model)

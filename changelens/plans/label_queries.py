@@ -61,9 +61,8 @@ def best_track(spark, d):
 
 
 def type_report(spark, d):
-    types = spark.createDataFrame([(t,) for t in L.KNOWN_TYPES], "type string")
     counts = scoring.type_counts(runs(spark, d), "predicted", "truth", "track")
-    return scoring.type_report(counts, types, "track").select("track", "type", "tp", "fp", "fn", "precision", "recall", "f1")
+    return scoring.type_report(counts, "track").select("track", "type", "tp", "fp", "fn", "precision", "recall", "f1")
 
 
 def undefined_labels(spark, d):
@@ -131,7 +130,7 @@ def mined_hints(spark, d):
 
 def association_rules(spark, d):
     return rules.association_rules(_sets(spark, d)).select(
-        "antecedent", "consequent", "n_xc", *[F.round(c, 6).alias(c) for c in ("confidence", "lift", "score")])
+        "antecedent", "consequent", "n_xc", *[F.round(c, 10).alias(c) for c in ("confidence", "lift", "score")])
 
 
 def _small_sets(spark, d):
@@ -152,7 +151,7 @@ def scored_candidates(spark, d):
     sets = _small_sets(spark, d)
     singles = rules.itemset_counts(sets, 1).select(F.col("items")[0].alias("type"), "n")
     total = sets.agg(F.sum("n").alias("n_cases"))
-    priors = singles.crossJoin(F.broadcast(total)).select("type", (F.col("n") / F.col("n_cases")).alias("prior"))
+    priors = singles.select("type", (F.col("n") / total.scalar()).alias("prior"))
     flat = priors.select("type", F.lit(0.1).alias("prior"))
     out = rules.scored_candidates(rules.rule_strengths(sets, rules.association_rules(sets)), sets, priors, flat, priors, 1.0, 0.5, 0.25, 5)
     return out.select(F.array_join("labels", "|").alias("labels"), "target", "rank")
@@ -362,7 +361,7 @@ FROM det2 d LEFT JOIN hist h ON d.type = h.type AND support >= 3""",
     "cooccurrence_npmi": f"WITH {_BASK}, {_STATS} SELECT a, b, n_ab, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(npmi, 6) AS npmi FROM st",
     "mined_hints": f"""WITH {_BASK}, {_STATS}, {_hints_cte('n_ab DESC', 'h1')}, {_hints_cte('round(npmi, 9) DESC', 'h2')}, {_hints_cte('round(lift * confidence, 9) DESC', 'h3')}
 SELECT 'count' AS version, src, ord, dst FROM h1 WHERE ord <= 4 UNION ALL SELECT 'npmi', src, ord, dst FROM h2 WHERE ord <= 4 UNION ALL SELECT 'rule', src, ord, dst FROM h3 WHERE ord <= 4""",
-    "association_rules": f"WITH {_BASK}, {_STATS}, {_RULES} SELECT antecedent, consequent, n_xc, round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(score, 6) AS score FROM rules",
+    "association_rules": f"WITH {_BASK}, {_STATS}, {_RULES} SELECT antecedent, consequent, n_xc, round(confidence, 10) AS confidence, round(lift, 10) AS lift, round(score, 10) AS score FROM rules",
     "rule_strength_max": f"{_RULE_BASE} SELECT labels, target, round(strength, 6) AS strength FROM str",
     "scored_candidates": f"""{_RULE_BASE}, g AS (SELECT labels, s.l AS target, s.k / n.n AS prior FROM sets, s, n WHERE NOT list_contains(string_split(labels, '|'), s.l)),
 z AS (SELECT g.labels, g.target, round(1.0 * coalesce(strength, 0) + 0.5 * 0.1 + 0.25 * prior, 9) AS score FROM g LEFT JOIN str ON g.labels = str.labels AND g.target = str.target)

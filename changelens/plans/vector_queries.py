@@ -26,7 +26,7 @@ def _queries(spark, d):
 def _others(queries):
     """Each query asks for every label but its own."""
     labels = queries.agg(F.collect_set("query_id").alias("ls"))  # the label dictionary
-    return queries.crossJoin(F.broadcast(labels)).select(
+    return queries.withColumn("ls", labels.scalar()).select(
         "query_id", "vec", F.array_except("ls", F.array("query_id")).alias("targets"))
 
 

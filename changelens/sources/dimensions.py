@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changelens.sources.paths import exists
+
 
 def read_definitions(spark: SparkSession, path: str) -> DataFrame:
     """``[{refactoring_type, definition}]`` as ``(type, definition)``; the last duplicate wins."""
@@ -36,7 +36,7 @@ def read_hint_edges(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """``{"A" or "A|B": [{consequent, score}]}`` as rule rows; a missing file means no rules."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], "antecedent string, consequent string, score double")
     raw = spark.read.text(path, wholetext=True).select(F.from_json(
         "value", "map<string,array<struct<consequent:string,score:double>>>").alias("m"))
@@ -45,7 +45,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """``{per_type: {label: {support, precision}}}``; a missing file means no history."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], "type string, support bigint, precision double")
     raw = spark.read.text(path, wholetext=True).select(F.from_json(
         "value", "per_type map<string,struct<support:bigint,precision:double>>").alias("h"))

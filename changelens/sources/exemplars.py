@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import pickle
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changelens import schemas
+from changelens.sources.paths import exists
 
 _POOL = schemas.EXEMPLAR.removeprefix("struct<").removesuffix(">")
 _POOL_FIELDS = [f.split(":")[0] for f in _POOL.split(",")]
@@ -105,7 +105,7 @@ def read_trophies(spark: SparkSession, records: str, matrix: str) -> DataFrame:
     Records are numbered in file order through their file offset rank.
     """
     schema = "row_id bigint, url string, ground_truth array<string>, diff_snippet string, embedding array<float>"
-    if not (os.path.exists(records) and os.path.exists(matrix)):
+    if not (exists(spark, records) and exists(spark, matrix)):
         return spark.createDataFrame([], schema)
     lines = spark.read.text(records).where(F.trim("value") != "").withColumn("_id", F.monotonically_increasing_id())
     parts = lines.withColumn("_p", F.spark_partition_id())

@@ -8,22 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens import schemas
+from changelens.sources.paths import exists
 
 
 def read_log(spark: SparkSession, path: str, schema: str = schemas.RESULT_LOG) -> DataFrame:
     """JSON lines; blank and broken lines are left out, a missing log is empty."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     raw = spark.read.schema(f"{schema}, _corrupt_record string").json(path)
     return raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def finished_cases(log: DataFrame) -> DataFrame:
     return log.where(F.coalesce("case_id", F.lit("")) != "").select("case_id").distinct()
 
@@ -35,7 +30,7 @@ def finished_per_type(log: DataFrame) -> DataFrame:
 
 def read_tracks(spark: SparkSession, root: str, tracks: list[str]) -> DataFrame:
     """Logs of several runs with their track name; tracks without a log are skipped."""
-    found = [(t, os.path.join(root, t)) for t in tracks if _exists(spark, os.path.join(root, t))]
+    found = [(t, os.path.join(root, t)) for t in tracks if exists(spark, os.path.join(root, t))]
     parts = [read_log(spark, p).withColumn("track", F.lit(t)) for t, p in found]
     if not parts:
         return spark.createDataFrame([], schemas.RESULT_LOG + ", track string")
