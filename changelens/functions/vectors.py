@@ -77,31 +77,46 @@ def best_rows(query_ids, queries, allowed, rows, labels, vectors, k, per_label,
     if normalize:
         vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), EPS)
     sims = np.round(queries @ vectors.T, DIGITS)
-    groups = [(None, np.arange(len(rows)))]
-    if per_label:
-        groups = [(name, np.flatnonzero(labels == name)) for name in np.unique(labels)]
-    picks = []
-    for name, cols in groups:
-        part = sims[:, cols]
-        ranked = np.argsort(-part, axis=1, kind="stable") if name is not None else None
-        for q, names in enumerate(allowed):
-            if name is not None:
-                if names is not None and name not in names:
-                    continue
-                top = cols[ranked[q, :k]]
-            else:
-                mine = cols if names is None else cols[np.isin(labels, list(names))]
-                top = mine[np.argsort(-sims[q, mine], kind="stable")[:k]]
-            picks.extend((q, c) for c in top)
-    if not picks:
+    q_at, c_at = [], []
+    for targets, cols in _scopes(allowed, labels, per_label):
+        picked_q, picked_c = _largest(sims[np.ix_(targets, cols)], k)
+        q_at.append(targets[picked_q])
+        c_at.append(cols[picked_c])
+    if not q_at:
         return None
-    qs, cs = (np.array(x) for x in zip(*picks))
+    qs, cs = np.concatenate(q_at), np.concatenate(c_at)
     return pd.DataFrame({
-        "query_id": [query_ids[q] for q in qs], "label": labels[cs], "row_id": rows[cs],
+        "query_id": np.asarray(query_ids, dtype=object)[qs], "label": labels[cs], "row_id": rows[cs],
         "sim": sims[qs, cs], "vec": list(vectors[cs]),
     })
 
 
+def _scopes(allowed, labels, per_label):
+    """Pairs of query positions and row positions that are ranked against each other."""
+    if per_label:
+        for name in np.unique(labels):
+            targets = np.array([i for i, names in enumerate(allowed) if names is None or name in names], dtype=int)
+            if len(targets):
+                yield targets, np.flatnonzero(labels == name)
+        return
+    same = {}
+    for i, names in enumerate(allowed):
+        same.setdefault(None if names is None else frozenset(names), []).append(i)
+    for names, members in same.items():
+        cols = np.arange(len(labels)) if names is None else np.flatnonzero(np.isin(labels, list(names)))
+        if len(cols):
+            yield np.array(members), cols
+
+
+def _largest(part, k):
+    """Positions of the ``k`` largest values per row; of equal values the first columns win."""
+    k = min(k, part.shape[1])
+    edge = -np.partition(-part, k - 1, axis=1)[:, k - 1:k]
+    above, equal = part > edge, part == edge
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
+
+
 def keep_best(frames, k, per_label):
     keys = ["query_id", "label"] if per_label else ["query_id"]
     out = pd.concat(frames, ignore_index=True).sort_values(["sim", "row_id"], ascending=[False, True])

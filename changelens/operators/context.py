@@ -151,6 +151,23 @@ def confusion_hints_xml(detected, texts: dict[str, str]) -> Column:
     return X.xml_list("confusion_hints", F.concat(own, F.transform(known(rest), lambda t: line(t, ' status="check_compound"'))))
 
 
+def confusion_hints_text(detected, texts: dict[str, str]) -> Column:
+    """The same hints as plain lines, with the labels that are often missed."""
+    found = _c(detected)
+    book = F.create_map(*[F.lit(v) for pair in texts.items() for v in pair]) if texts else F.create_map().cast("map<string,string>")
+    none = F.array().cast("array<string>")
+
+    def listed(names: Column, note: str) -> Column:
+        known = F.filter(names, lambda t: F.try_element_at(book, t).isNotNull())
+        return F.transform(known, lambda t: F.concat(F.lit("* **"), t, F.lit(f"**{note}: "), F.try_element_at(book, t)))
+
+    triggered = F.arrays_overlap(found, F.array(*[F.lit(t) for t in L.COMPOUND_TRIGGERS]))
+    rest = F.when(triggered, F.array_except(F.array(*[F.lit(c) for c in L.COMPOUNDS]), found)).otherwise(none)
+    missed = F.array_except(F.array(*[F.lit(t) for t in L.OFTEN_MISSED]), found)
+    lines = F.concat(listed(found, ""), listed(rest, " (not detected, rule it out)"), listed(missed, " (not detected, check)"))
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(F.lit("No specific confusion hints for these types."))
+
+
 def level_glossary(definitions: DataFrame, terms: DataFrame, compounds: DataFrame) -> DataFrame:
     """``(level, reference_xml)`` from the definition, term and compound-note tables.
 

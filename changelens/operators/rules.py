@@ -168,8 +168,8 @@ def scored_candidates(strengths: DataFrame, sets: DataFrame, types: DataFrame, l
     grid = rows(sets.select("labels").distinct().withColumn("book", book.scalar()),
                 F.array_except("book", "labels"), "labels", name="target")
     full = (grid.join(strengths, ["labels", "target"], "left")
-            .join(F.broadcast(level_priors.select(F.col("type").alias("target"), F.col("prior").alias("p_level"))), "target", "left")
-            .join(F.broadcast(global_priors.select(F.col("type").alias("target"), F.col("prior").alias("p_all"))), "target", "left")
+            .join(level_priors.select(F.col("type").alias("target"), F.col("prior").alias("p_level")), "target", "left")
+            .join(global_priors.select(F.col("type").alias("target"), F.col("prior").alias("p_all")), "target", "left")
             .na.fill(0.0, ["strength", "p_level", "p_all"]))
     scored = full.withColumn("score", F.round(
         alpha * F.col("strength") + beta * F.col("p_level") + gamma * F.col("p_all"), 9)).where("score > 0")

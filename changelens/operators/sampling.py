@@ -75,7 +75,7 @@ def schedule_heads(df: DataFrame, n_per_type: int, done: DataFrame | None = None
     quota = F.lit(n_per_type)
     if existing is not None:
         counts = existing.select(type_col, F.col("n").alias("_done"))
-        heads = heads.join(F.broadcast(counts), type_col, "left")
+        heads = heads.join(counts, type_col, "left")
         quota = F.greatest(F.lit(0), F.lit(n_per_type) - F.coalesce("_done", F.lit(0)))
     return heads.select(type_col, key, "pos", quota.alias("quota"))
 

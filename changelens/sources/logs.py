@@ -15,8 +15,7 @@ def read_log(spark: SparkSession, path: str, schema: str = schemas.RESULT_LOG) -
     """JSON lines; blank and broken lines are left out, a missing log is empty."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    raw = spark.read.schema(f"{schema}, _corrupt_record string").json(path)
-    return raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
 def finished_cases(log: DataFrame) -> DataFrame:

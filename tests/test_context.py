@@ -33,12 +33,14 @@ def test_messages_and_blocks(spark):
         text.detections_xml("stage2_detected", "d").alias("d"), text.candidates_xml("t").alias("c"),
         context.confusion_hints_xml("t", {"Move Class": "a > b", "Move And Rename Class": "one"}).alias("h"),
         context.format_messages(context.message_pair(F.lit("sys \n"), F.lit("user"), True)).alias("m"),
+        context.confusion_hints_text("t", {"Move Class": "a", "Invert Condition": "b"}).alias("p"),
         text.truncate(F.lit("x" * 1600)).alias("cut"), text.iso_millis(F.lit(1.5)).alias("ts")).first()
     assert row["d"] == '<stage2_detected>\n  <type evidence="+a &quot;b&quot;">Add Parameter</type>\n</stage2_detected>'
     assert row["c"].count("<type>") == 2
     assert row["h"] == ('<confusion_hints>\n  <hint type="Move Class">a &gt; b</hint>\n'
                         '  <hint type="Move And Rename Class" status="check_compound">one</hint>\n</confusion_hints>')
     assert row["m"] == "--- system ---\nsys\n\n/no_think\n--- user ---\nuser"
+    assert row["p"] == "* **Move Class**: a\n* **Invert Condition** (not detected, check): b"
     assert len(row["cut"]) == 1514 and row["ts"] == "1970-01-01T00:00:01.500"
 
 
