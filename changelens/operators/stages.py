@@ -25,7 +25,7 @@ from changelens.operators import context as C
 from changelens.operators import filters, rules, setops
 from changelens.operators.signals import compute_signals, signal_tags, signals_xml
 from changelens.operators.structure import SUMMARY, SUMMARY_TYPE, compute_facts, facts_summary, facts_xml
-from changelens.plans.session import checkpoint_dir
+from changelens.plans.session import stored
 
 ModelFn = Callable[[str, str, float], str]  # system text, user text, temperature -> reply
 BATCH = 5
@@ -67,8 +67,7 @@ def call_model(requests: DataFrame, model: ModelFn) -> DataFrame:
             got = pd.DataFrame(out, columns=["reply", "error", "duration_s", "called_at"], index=pdf.index)
             yield pd.concat([pdf[keys], (pdf["system"] + "\n" + pdf["user"]).rename("prompt"), got], axis=1)
 
-    checkpoint_dir(requests.sparkSession)
-    return requests.mapInPandas(run, f"{ddl}, {added}").checkpoint()
+    return stored(requests.mapInPandas(run, f"{ddl}, {added}"))
 
 
 def attach_facts(cases: DataFrame, cfg: EngineConfig, extractors: dict | None = None) -> DataFrame:

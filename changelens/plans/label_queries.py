@@ -11,6 +11,7 @@ from changelens.functions.rows import pos_rows, rows
 from changelens.operators import filters, rules, scoring
 from changelens.plans import derived as D
 from changelens.plans.derived import cases, runs, table
+from changelens.plans.session import stored
 from changelens.sources import cases as ingest, logs
 
 # Scores
@@ -113,7 +114,7 @@ def _baskets(spark, d):
 
 
 def _sets(spark, d):
-    return rules.label_sets(_baskets(spark, d))
+    return stored(rules.label_sets(_baskets(spark, d)))
 
 
 def cooccurrence_npmi(spark, d):
@@ -138,7 +139,7 @@ def _small_sets(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     flags = li.select(F.col("l_orderkey").alias("case_id"), F.explode(F.array("l_returnflag", "l_linestatus")).alias("label"))
     prio = o.select(F.col("o_orderkey").alias("case_id"), F.explode(F.array("o_orderpriority", F.lower("o_orderstatus"))).alias("label"))
-    return rules.label_sets(flags.unionByName(prio))
+    return stored(rules.label_sets(flags.unionByName(prio)))
 
 
 def rule_strength_max(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,3 +38,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", named)
     spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a reduced result to the checkpoint folder when several steps read it.
+
+    The scan behind it then runs once, and a lost executor costs no recomputation.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
