@@ -10,7 +10,7 @@ from changelens.functions import text as X
 from changelens.functions.rows import pos_rows, rows
 from changelens.operators import filters, rules, scoring
 from changelens.plans import derived as D
-from changelens.plans.derived import cases, runs, table
+from changelens.plans.derived import runs, table
 from changelens.plans.session import stored
 from changelens.sources import cases as ingest, logs
 

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from changelens.functions import vectors as V
 from changelens.operators import retrieval as R
 from changelens.plans.derived import table
 
@@ -83,6 +82,13 @@ def query_vector_lookup(spark, d):
     return R.lookup_queries(pages, main, bench).select("url", "source", F.size("vec").alias("dim"))
 
 
+def anchored_retrieval(spark, d):
+    """Each document source asks with the mean of its documents' vectors."""
+    anchors = table(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").cast("string").alias("id"))
+    queries = R.mean_pool_queries(_index(spark, d), anchors, DIM)
+    return R.retrieve_pooled(queries, _index(spark, d), k=5).select("query_id", "label", "row_id", "rank")
+
+
 def hydrated_exemplars(spark, d):
     """Ranked ids with their document record; ids without one stay."""
     top = R.retrieve_for_types(_queries(spark, d), _index(spark, d), k=5, use_mmr=False)
@@ -119,7 +125,7 @@ p{i} AS (SELECT t.query_id, t.label, t.row_id, t.sim, t.ord, t.v, greatest(t.pen
 
 QUERIES = {f.__name__: f for f in (
     exemplar_topk_by_label, mmr_diverse, typed_union_topk, three_channel_fusion, pooled_budget_bucket,
-    mean_pool_query, min_sim_neighbors, first_without_query, query_vector_lookup, hydrated_exemplars)}
+    mean_pool_query, min_sim_neighbors, first_without_query, query_vector_lookup, anchored_retrieval, hydrated_exemplars)}
 
 _TOP5 = """SELECT query_id, label, row_id, rank FROM
 (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY sim DESC, row_id) AS rank FROM s) WHERE rank <= 5"""
@@ -145,6 +151,10 @@ row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings)
 CASE WHEN e.vec_id IS NOT NULL THEN len(e.embedding) ELSE 1 END AS dim
 FROM pages LEFT JOIN (SELECT * FROM embeddings WHERE embedding[1] > 0) e ON page_id = e.vec_id
 LEFT JOIN benchmark ON page_id = item_id WHERE e.vec_id IS NOT NULL OR item_id IS NOT NULL""",
+    "anchored_retrieval": _BASE.replace(
+        "parts AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM u)",
+        "parts AS (SELECT source AS label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM u JOIN documents ON doc_id = row_id)") + """
+SELECT query_id, label, row_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, row_id) AS rank FROM s) WHERE rank <= 5""",
     "hydrated_exemplars": f"""{_BASE}, t AS ({_TOP5})
 SELECT query_id, label, rank, CAST(row_id AS VARCHAR) AS id, lang, n_chars FROM t LEFT JOIN documents ON row_id = doc_id""",
 }

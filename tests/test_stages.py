@@ -2,8 +2,6 @@
 
 from dataclasses import replace
 
-from pyspark.sql import functions as F
-
 from changelens.config import EngineConfig
 from changelens.operators import stages
 from tests_data import CASE_SCHEMA, DIFF
