@@ -7,12 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changelens.llm import op4_token_files, op5_token_counts, op10_quality
+from changelens.llm import op2_decontaminate, op3_language, op4_token_files, op5_token_counts, op9_simhash, op10_quality
 from changelens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it covers by tiles, in any order."""
+    return op2_decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document and page by fused evidence."""
+    found = op3_language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+    return found.select("doc_id", "page_id", "host", "declared", "text_language", "language", "confidence", "accepted")
+
+
 def op4_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents in Arrow files in id order, read back."""
     out = op4_token_files.sequences_dir(spark)
@@ -25,6 +36,11 @@ def op5_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents."""
+    return op9_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger of all documents with its verdict under the newest policy."""
     found = op10_quality.ledger(table(spark, sf_dir, "documents"))
@@ -34,8 +50,11 @@ def op10_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate_query,
+    "op3_language": op3_language_query,
     "op4_token_files": op4_token_files_query,
     "op5_token_counts": op5_token_counts_query,
+    "op9_simhash": op9_simhash_query,
     "op10_quality_rules": op10_quality_query,
 }
 ORACLE: dict[str, str] = {}
