@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from changelens.llm import op2_decontaminate, op3_language, op4_token_files, op5_token_counts, op9_simhash, op10_quality
+from changelens.llm import op2_decontaminate, op3_language, op4_token_files, op5_token_counts, op6_lines, op7_licenses, op8_mix, op9_simhash, op10_quality, oracles
 from changelens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +37,22 @@ def op5_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted lines of all documents and digests of what is left."""
+    found = op6_lines.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.md5("clean_text").alias("clean_md5"), F.length("clean_text").alias("clean_chars"))
+
+
+def op7_licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return op7_licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document under square-root weights of the sources."""
+    return op8_mix.mixed(table(spark, sf_dir, "documents")).drop("k1", "k2")
+
+
 def op9_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents."""
     return op9_simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -54,7 +71,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language_query,
     "op4_token_files": op4_token_files_query,
     "op5_token_counts": op5_token_counts_query,
+    "op6_lines": op6_lines_query,
+    "op7_licenses": op7_licenses_query,
+    "op8_mix": op8_mix_query,
     "op9_simhash": op9_simhash_query,
     "op10_quality_rules": op10_quality_query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_lines": oracles.lines_sql(),
+    "op7_licenses": oracles.licenses_sql(),
+    "op8_mix": oracles.mix_sql(),
+    "op10_quality_rules": oracles.quality_sql(),
+}
