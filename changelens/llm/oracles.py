@@ -101,6 +101,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits
 
 def conversations_sql() -> str:
     """Digests straight from the table."""
+    escaped = lambda c: rf"regexp_replace({c}, '<(\\*)\|', '<\\\1|', 'g')"
     ends = "'<|im_end|><|im_start|>assistant ok'"
     return f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -108,6 +109,6 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length('<|im_start|>' || regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '<(\\\\*)\\|', '<\\\\\\1|', 'g') || chr(10)
-                  || regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
+       sum(length('<|im_start|>' || replace(replace({escaped("role")}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') || chr(10)
+                  || {escaped("text")} || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id"""

@@ -8,10 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import op2_decontaminate, op3_language, op4_token_files, op5_token_counts, op6_lines, op7_licenses, op8_mix, op9_simhash, op10_quality, oracles
-from changelens.llm.common import table
+from changelens.llm import op1_chat_tree, op2_decontaminate, op3_language, op4_token_files, op5_token_counts, op6_lines, op7_licenses, op8_mix, op9_simhash, op10_quality, oracles
+from changelens.llm.common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
+CHAT_TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_chat_tree_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, as a prefix tree of tokens, read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "<|im_end|><|im_start|>assistant ok"
+    turns = turns.union(spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], turns.schema))
+    out, tokenizer = scratch(spark, "chat"), public_tokenizers.path(CHAT_TOKENIZER)
+    op1_chat_tree.build(turns, out, tokenizer)
+    return op1_chat_tree.digests(op1_chat_tree.read_conversations(spark, out, tokenizer))
 
 
 def op2_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +78,7 @@ def op10_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_tree": op1_chat_tree_query,
     "op2_decontaminate": op2_decontaminate_query,
     "op3_language": op3_language_query,
     "op4_token_files": op4_token_files_query,
@@ -78,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_query,
 }
 ORACLE: dict[str, str] = {
+    "op1_chat_tree": oracles.conversations_sql(),
     "op6_lines": oracles.lines_sql(),
     "op7_licenses": oracles.licenses_sql(),
     "op8_mix": oracles.mix_sql(),
