@@ -167,14 +167,21 @@ def clean_exemplar_before(col) -> Column:
 
 # Records
 
+KEY_CHARS = 180
+
+
 def case_key(record_id, url, diff) -> Column:
-    """Stable key: record id, else url, else digest of the diff; path signs become ``_``."""
+    """Stable key: record id, else url, else digest of the diff; path signs become ``_``.
+
+    A key over ``KEY_CHARS`` characters is its digest and its end, so different keys stay different.
+    """
     raw = F.coalesce(
         F.nullif(_c(record_id), F.lit("")),
         F.nullif(_c(url), F.lit("")),
         F.md5(F.coalesce(_c(diff), F.lit(""))),
     )
-    return F.right(F.translate(raw, "/:", "__"), F.lit(180))
+    key = F.translate(raw, "/:", "__")
+    return F.when(F.length(key) <= KEY_CHARS, key).otherwise(F.concat(F.md5(raw), F.lit("_"), F.right(key, F.lit(KEY_CHARS - 33))))
 
 
 def split_code_text(col) -> Column:

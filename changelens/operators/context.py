@@ -10,7 +10,6 @@ from changelens.functions import text as X
 from changelens.functions.text import _c
 
 OVERHEAD_CHARS = 12000
-PAGE_TURNS = 64
 
 
 def format_case(diff, before, after) -> Column:
@@ -215,14 +214,15 @@ def format_messages(messages) -> Column:
         F.lit("--- "), m["role"], F.lit(" ---\n"), m["content"])), "\n")
 
 
-def transcript(turns: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
-    """Conversations as text pages of ``PAGE_TURNS`` turns: ``(key, page, n_turns, transcript)``.
+def transcript(turns: DataFrame, key: str, turn: str, role: str, text: str, page_turns: int | None = None) -> DataFrame:
+    """Conversations as one text each: ``(key, page, n_turns, transcript)``, page 0 only.
 
-    A page holds a bounded number of turns, so an endless conversation spreads
-    over many groups; its text is its pages in order.
+    With ``page_turns`` a conversation is cut into pages of that many turns, so an
+    endless one spreads over many groups; its text is its pages in order.
     """
     block = F.concat(F.lit("--- "), role, F.lit(" ---\n"), text)
-    paged = turns.select(key, F.floor(F.col(turn) / PAGE_TURNS).cast("bigint").alias("page"), F.col(turn).alias("_t"), block.alias("_b"))
+    page = (F.lit(0) if page_turns is None else F.floor(F.col(turn) / page_turns)).cast("bigint")
+    paged = turns.select(key, page.alias("page"), F.col(turn).alias("_t"), block.alias("_b"))
     return paged.groupBy(key, "page").agg(
         F.count("*").alias("n_turns"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_b"))), lambda x: x["_b"]), "\n").alias("transcript"))

@@ -15,8 +15,6 @@ from changelens.config import EngineConfig, adaptive_cap
 from changelens.functions.rows import let, rows
 from changelens.functions.text import _c
 
-MAX_HINT_EDGES = 10_000
-
 
 def label_sets(labelled: DataFrame, key: str = "case_id", label: str = "label") -> DataFrame:
     """Distinct label sets with the number of cases that have them: ``(labels, n)``."""
@@ -100,15 +98,20 @@ def rule_strengths(sets: DataFrame, rules: DataFrame, labels: str = "labels") ->
 
 # Candidates
 
-def hint_dict(edges: DataFrame) -> dict[str, list[str]]:
-    """Hint edges ``(src, ord, dst)`` as a dictionary; the label dictionary must be small."""
-    known = edges.select("src", "ord", "dst").limit(MAX_HINT_EDGES + 1).collect()
-    if len(known) > MAX_HINT_EDGES:
-        raise ValueError(f"more than {MAX_HINT_EDGES} hint edges: join them instead")
-    book: dict[str, list[str]] = {}
-    for r in sorted(known, key=lambda r: (r["src"], r["ord"])):
-        book.setdefault(r["src"], []).append(r["dst"])
-    return book
+def voted_by_edges(df: DataFrame, edges: DataFrame, cap: int | None, key: str = "case_id", detected: str = "labels",
+                   always: list[str] | None = None) -> DataFrame:
+    """``(key, candidates)`` like ``vote_candidates``, for a hint table ``(src, ord, dst)`` of any size.
+
+    Detected labels meet the edges in a join; only labels and votes are exchanged.
+    """
+    empty = F.array().cast("array<string>")
+    votes = rows(df, detected, key, name="src").join(edges.select("src", "dst"), "src").groupBy(key, "dst").agg(F.count("*").alias("n"))
+    ranked = votes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus_votes"), "dst"))).alias("_r"))
+    found = F.coalesce(F.transform("_r", lambda r: r["dst"]), empty)
+    backup = F.array(*[F.lit(a) for a in (always or [])]).cast("array<string>")
+    both = F.array_except(F.array_union(found, backup), F.coalesce(F.col(detected), empty))
+    out = df.select(key, detected).join(ranked, key, "left")
+    return out.select(key, (both if cap is None else F.slice(both, 1, cap)).alias("candidates"))
 
 
 def hint_map(hints: dict[str, list[str]]) -> Column:

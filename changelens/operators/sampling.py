@@ -12,7 +12,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PREFIX = 3  # 16**3 buckets: the table of bucket counts stays tiny at any data size
+BUCKET_ROWS = 4096  # rows that one bucket of a rank holds on average, at most
 
 
 def seeded_hash(seed: int, *keys) -> Column:
@@ -24,14 +24,16 @@ def global_rank(df: DataFrame, hash_col: str, out: str = "rank") -> DataFrame:
     """Rank of every row by a uniform hash column, without a global sort.
 
     Counts per hash prefix give the offset of each bucket; rows are ranked
-    inside their bucket only.
+    inside their bucket only. The prefix grows with the table.
     """
-    b = df.withColumn("_b", F.left(F.col(hash_col), F.lit(_PREFIX)))
+    total = df.agg(F.count("*").alias("n"))
+    digits = F.ceil(F.log(16.0, F.greatest(F.lit(1.0), F.col("_total") / BUCKET_ROWS))).cast("int")
+    b = df.withColumn("_total", total.scalar()).withColumn("_b", F.left(F.col(hash_col), digits)).drop("_total")
     counts = b.groupBy("_b").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     inner = Window.partitionBy("_b").orderBy(hash_col)
-    ranked = b.withColumn("_i", F.row_number().over(inner)).join(F.broadcast(offsets), "_b")
+    ranked = b.withColumn("_i", F.row_number().over(inner)).join(offsets, "_b")
     return ranked.withColumn(out, F.col("_o") + F.col("_i")).drop("_b", "_i", "_o")
 
 

@@ -137,7 +137,7 @@ def detect(cases: DataFrame, model: ModelFn, cfg: EngineConfig, prompts: Prompts
         F.struct(F.lit("defined").alias("kind"), F.col("p.defined").alias("items")),
         F.struct(F.lit("undefined").alias("kind"), F.col("p.undefined").alias("items")))).alias("k"))
     rows = rows.select("case_id", "call", "lv_pos", "k.kind", F.posexplode("k.items").alias("i", "x")).select(
-        "case_id", "call", "kind", (F.col("lv_pos") * 1000 + F.col("i")).alias("ord"), "x.type", "x.evidence")
+        "case_id", "call", "kind", (F.shiftleft(F.col("lv_pos").cast("bigint"), 32) + F.col("i")).alias("ord"), "x.type", "x.evidence")
     once = setops.ordered_dedupe(rows, ["case_id", "call", "kind"], "type", "ord")
     if n > 1:
         once = setops.consensus(once, cases.select("case_id", F.lit(n).alias("n_calls")))
@@ -249,7 +249,7 @@ def keep_certain_first(certain: DataFrame, slots: DataFrame, verdicts: DataFrame
     judged = slots.join(verdicts, ["case_id", "batch", "slot"], "left")
     kept = judged.where(F.coalesce(F.upper("verdict").startswith("KEEP"), F.lit(True)))
     cols = ["case_id", "ord", "type", "evidence", "confidence"]
-    merged = certain.select(*cols).unionByName(kept.select("case_id", (F.col("ord") + 100000).alias("ord"), "type", "evidence", "confidence"))
+    merged = certain.select(*cols).unionByName(kept.select("case_id", (F.col("ord") + F.lit(1 << 60)).alias("ord"), "type", "evidence", "confidence"))
     return merged
 
 

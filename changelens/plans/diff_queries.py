@@ -170,7 +170,7 @@ def _moves_sql(sign: str, name: str) -> str:
 asg_{name} AS (SELECT case_id, hunk, pos, regexp_extract(line, '^\\s*([A-Za-z_][A-Za-z0-9_]*)\\s*=\\s*(.+?)\\s*$', 1) AS var,
               regexp_extract(line, '^\\s*([A-Za-z_][A-Za-z0-9_]*)\\s*=\\s*(.+?)\\s*$', 2) AS expr FROM body WHERE sign = '{sign}'),
 ok_{name} AS (SELECT * FROM asg_{name} WHERE var <> '' AND var NOT IN ({_NOISE}) AND length(expr) >= 8 {extra}),
-{name} AS (SELECT a.case_id, a.pos, a.var, left(a.expr, 80) AS expr,
+{name} AS (SELECT a.case_id, a.pos, a.var, a.expr,
         count(*) FILTER (b.sign = '{sign}' AND contains(b.line, a.var) AND NOT contains(b.line, a.expr)) AS hits,
         count(*) FILTER (b.sign = '{other}' AND contains(b.line, a.expr)) AS src
       FROM ok_{name} a JOIN body b ON a.case_id = b.case_id AND a.hunk = b.hunk AND b.pos > a.pos
@@ -183,21 +183,21 @@ _FLIP = " OR ".join(
 _INV = D.DUCK_PAIRS + rf""",
 conds AS (SELECT case_id, hunk, pos, regexp_replace(before, '^\s+|\s+$', '', 'g') AS b, regexp_replace(after, '^\s+|\s+$', '', 'g') AS a FROM pairs
   WHERE regexp_matches(before, '^\s*(if|elif|while|assert)\s+') AND regexp_matches(after, '^\s*(if|elif|while|assert)\s+')),
-inv AS (SELECT case_id, hunk, pos, left(b, 120) AS before, left(a, 120) AS after FROM conds
+inv AS (SELECT case_id, hunk, pos, b AS before, a AS after FROM conds
   WHERE contains(b, ' not ') <> contains(a, ' not ') OR {_FLIP})"""
 _SPLIT = r""",
 nxt AS (SELECT m.case_id, m.hunk, m.pos, m.line, p1.line AS outer_l, p2.line AS inner_l
         FROM numbered m JOIN numbered p1 ON m.case_id = p1.case_id AND m.hunk = p1.hunk AND p1.run = m.run + 1 AND p1.i = 1 AND p1.sign = '+'
         JOIN numbered p2 ON m.case_id = p2.case_id AND m.hunk = p2.hunk AND p2.run = m.run + 1 AND p2.i = 2
         WHERE m.sign = '-' AND regexp_matches(m.line, '^\s*if\s+(.+?)\s+(?:and|or)\s+(.+?):\s*$')),
-spl AS (SELECT case_id, left(trim(line), 120) AS before, left(trim(outer_l), 80) AS after_outer, left(trim(inner_l), 80) AS after_inner
+spl AS (SELECT case_id, trim(line) AS before, trim(outer_l) AS after_outer, trim(inner_l) AS after_inner
         FROM nxt WHERE regexp_matches(outer_l, '^\s*if\s+') AND regexp_matches(inner_l, '^\s*if\s+')
         AND length(inner_l) - length(ltrim(inner_l)) > length(outer_l) - length(ltrim(outer_l)))"""
 _ANN = r"'^\s*([A-Za-z_][A-Za-z0-9_]*)\s*:\s*([^=]+?)(?:=|$)'"
 _TYPES = f""",
 ann AS (SELECT DISTINCT case_id, regexp_extract(before, {_ANN}, 1) AS name, regexp_extract(after, {_ANN}, 1) AS other,
         trim(regexp_extract(before, {_ANN}, 2)) AS before, trim(regexp_extract(after, {_ANN}, 2)) AS after FROM pairs),
-types AS (SELECT case_id, name, left(before, 60) AS before, left(after, 60) AS after FROM ann
+types AS (SELECT case_id, name, before, after FROM ann
           WHERE name <> '' AND name = other AND before <> '' AND after <> '' AND before <> after)"""
 
 

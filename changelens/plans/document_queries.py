@@ -158,13 +158,11 @@ def case_keys(spark, d):
 
 
 def greedy_char_budget(spark, d):
-    """The 15 longest-titled documents per source, taken while they fit 20,000 characters."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars", F.md5("text").alias("h"))
-    w = Window.partitionBy("source").orderBy("h", "doc_id")
-    top = docs.withColumn("rn", F.row_number().over(w)).where("rn <= 15")
-    lists = top.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rn", "doc_id", "n_chars"))).alias("items"))
-    kept = lists.select("source", F.explode(C.fit_budget("items", lambda x: x["n_chars"], 20000)).alias("x"))
-    return kept.select("source", "x.doc_id", "x.n_chars")
+    """Turns of every conversation, taken in order while they fit 1,000 characters."""
+    turns = table(spark, d, "conversations").select("conv_id", F.struct("turn", F.length("text").cast("bigint").alias("n")).alias("x"))
+    lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("items"))
+    kept = lists.select("conv_id", F.explode(C.fit_budget("items", lambda x: x["n"], 1000)).alias("x"))
+    return kept.select("conv_id", "x.turn", F.col("x.n").alias("n_chars"))
 
 
 def rank_with_fallback(spark, d):
@@ -206,7 +204,7 @@ b AS (SELECT source, avg(length(text)) * 2 AS m FROM documents GROUP BY source)
 SELECT doc_id AS case_id FROM documents JOIN a USING (lang) JOIN b USING (source) WHERE length(text) <= a.m AND length(text) <= b.m""",
     "citation_overlap": f"""WITH {_TURNS}, t AS (SELECT conv_id, turn, {_tok('evidence', _ID3)} AS e, {_tok('context', _ID3)} AS x FROM c)
 SELECT conv_id, turn, CASE WHEN len(e) > 0 THEN round(len(list_intersect(e, x)) / len(e), 6) END AS overlap,
-array_to_string(list_sort(list_filter(e, lambda v: NOT list_contains(x, v)))[1:5], ',') AS missing,
+array_to_string(list_sort(list_filter(e, lambda v: NOT list_contains(x, v))), ',') AS missing,
 CASE WHEN len(e) > 0 THEN len(list_intersect(e, x)) / len(e) >= 0.30 ELSE true END AS keep FROM t""",
     "unknown_overlap": f"""WITH {_TURNS}, t AS (SELECT conv_id, turn, {_tok('evidence', _ID1)} AS e, {_tok('context', _ID1)} AS x FROM c)
 SELECT conv_id, turn, CASE WHEN len(e) > 0 THEN len(list_intersect(e, x)) / len(e) >= 0.40 ELSE false END AS keep FROM t""",
@@ -216,7 +214,7 @@ l AS (SELECT doc_id, want, unnest(ls) AS ln, generate_subscripts(ls, 1) AS pos F
 s AS (SELECT doc_id, pos, len(list_intersect(want, regexp_extract_all(ln, '[\p{L}\p{N}_]{3,}'))) AS hit FROM l),
 b AS (SELECT doc_id, max(hit) AS best, arg_min(pos, -hit * 1000000 + pos) AS hit_at FROM s GROUP BY doc_id)
 SELECT d.doc_id AS case_id, md5(CASE WHEN len(want) > 0 AND best > 0 AND best / len(want) >= 0.4
-THEN array_to_string(ls[greatest(1, hit_at - 5):hit_at + 5], chr(10)) ELSE left(text, 1500) END) AS window_md5 FROM d JOIN b USING (doc_id)""",
+THEN array_to_string(ls[greatest(1, hit_at - 5):hit_at + 5], chr(10)) ELSE text END) AS window_md5 FROM d JOIN b USING (doc_id)""",
     "ordered_dedupe": r"""SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) ORDER BY doc_id) AS n
 FROM documents WHERE regexp_matches(text, '\S')) WHERE n = 1""",
     "union_minus": r"""WITH a AS (SELECT 0 AS s, item_id AS id, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents)
@@ -242,14 +240,14 @@ row_number() OVER (PARTITION BY lang ORDER BY {_MD5.format("lang || '|' || doc_i
     "resume_anti_join": """SELECT o_orderkey AS case_id, o_orderpriority AS type FROM orders
 WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
     "open_quota": """SELECT o_orderpriority AS type, greatest(0, 1500 - count(*) FILTER (o_orderstatus = 'F')) AS quota FROM orders GROUP BY 1""",
-    "chat_transcript": """SELECT conv_id, turn // 64 AS page, count(*) AS n_turns,
+    "chat_transcript": """SELECT conv_id, CAST(0 AS BIGINT) AS page, count(*) AS n_turns,
 md5(string_agg('--- ' || role || ' ---' || chr(10) || text, chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1, 2""",
-    "case_keys": "SELECT page_id, right(translate(url, '/:', '__'), 180) AS key, md5(html) AS digest_key FROM pages",
-    "greedy_char_budget": """WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY md5(text), doc_id) AS rn FROM documents),
-f AS (SELECT source, rn, doc_id, n_chars, n_chars <= 20000 AS ok, CASE WHEN n_chars <= 20000 THEN n_chars ELSE 0 END AS used FROM r WHERE rn = 1
-UNION ALL SELECT r.source, r.rn, r.doc_id, r.n_chars, f.used + r.n_chars <= 20000, CASE WHEN f.used + r.n_chars <= 20000 THEN f.used + r.n_chars ELSE f.used END
-FROM f JOIN r ON r.source = f.source AND r.rn = f.rn + 1 WHERE r.rn <= 15)
-SELECT source, doc_id, n_chars FROM f WHERE ok""",
+    "case_keys": "SELECT page_id, CASE WHEN length(url) <= 180 THEN translate(url, '/:', '__') ELSE md5(url) || '_' || right(translate(url, '/:', '__'), 147) END AS key, md5(html) AS digest_key FROM pages",
+    "greedy_char_budget": """WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+f AS (SELECT conv_id, rn, turn, n, n <= 1000 AS ok, CASE WHEN n <= 1000 THEN n ELSE 0 END AS used FROM r WHERE rn = 1
+UNION ALL SELECT r.conv_id, r.rn, r.turn, r.n, f.used + r.n <= 1000, CASE WHEN f.used + r.n <= 1000 THEN f.used + r.n ELSE f.used END
+FROM f JOIN r ON r.conv_id = f.conv_id AND r.rn = f.rn + 1)
+SELECT conv_id, turn, n AS n_chars FROM f WHERE ok""",
     "rank_with_fallback": """SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey
 ORDER BY CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3""",
     "context_budget": """SELECT doc_id, greatest(0, CAST(floor(8192 * 4 * 0.65) AS BIGINT) - length(text) - 12000) AS detect_budget,

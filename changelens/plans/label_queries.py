@@ -160,10 +160,10 @@ def scored_candidates(spark, d):
 
 def vote_candidates(spark, d):
     """Brands that go with the brands of each order, by the mined count table."""
-    hints = rules.hint_dict(rules.mine_hints(rules.pair_stats(_sets(spark, d))))
+    hints = rules.mine_hints(rules.pair_stats(_sets(spark, d)))
     found = _baskets(spark, d).groupBy("case_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     backup = ["Brand#1", "Brand#2"]
-    return found.select("case_id", F.array_join(rules.vote_candidates("labels", hints, 7, always=backup), "|").alias("candidates"))
+    return rules.voted_by_edges(found, hints, 7, always=backup).select("case_id", F.array_join("candidates", "|").alias("candidates"))
 
 
 def missing_candidates(spark, d):

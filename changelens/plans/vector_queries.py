@@ -74,12 +74,12 @@ def first_without_query(spark, d):
 
 
 def query_vector_lookup(spark, d):
-    """Pages look their vector up by id, in the embedding table first and the benchmark items second."""
-    pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("url"))
+    """Pages and benchmark items look their vector up, in the embedding table first and a table of the items second."""
+    item = F.concat(F.lit("item-"), F.col("item_id").cast("string"))
+    keys = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("url")).union(table(spark, d, "benchmark").select(item))
     main = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("url"), F.col("embedding").alias("vec"))
-    bench = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("url"), F.array(F.lit(0.0).cast("float")).alias("vec"))
-    main = main.where("vec[0] > 0")  # vectors that point up: the rest falls through to the bench table
-    return R.lookup_queries(pages, main, bench).select("url", "source", F.size("vec").alias("dim"))
+    bench = table(spark, d, "benchmark").select(item.alias("url"), F.array(F.lit(0.0).cast("float")).alias("vec"))
+    return R.lookup_queries(keys, main, bench).select("url", "source", F.size("vec").alias("dim"))
 
 
 def anchored_retrieval(spark, d):
@@ -147,10 +147,8 @@ FROM p, n WHERE rank <= least(5 * n.n, 100)) WHERE bucket_rank <= 5""",
     "min_sim_neighbors": f"{_POOL} SELECT query_id, label, row_id, rank, round(sim, 3) AS sim FROM p WHERE rank <= 3 AND sim >= 0.1",
     "first_without_query": """SELECT * FROM (SELECT CAST(label AS VARCHAR) AS label, vec_id AS row_id,
 row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings) WHERE rank <= 5""",
-    "query_vector_lookup": """SELECT CAST(page_id AS VARCHAR) AS url, CASE WHEN e.vec_id IS NOT NULL THEN 'main' ELSE 'bench' END AS source,
-CASE WHEN e.vec_id IS NOT NULL THEN len(e.embedding) ELSE 1 END AS dim
-FROM pages LEFT JOIN (SELECT * FROM embeddings WHERE embedding[1] > 0) e ON page_id = e.vec_id
-LEFT JOIN benchmark ON page_id = item_id WHERE e.vec_id IS NOT NULL OR item_id IS NOT NULL""",
+    "query_vector_lookup": """SELECT CAST(page_id AS VARCHAR) AS url, 'main' AS source, len(embedding) AS dim FROM pages JOIN embeddings ON page_id = vec_id
+UNION ALL SELECT 'item-' || item_id, 'bench', 1 FROM benchmark""",
     "anchored_retrieval": _BASE.replace(
         "parts AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM u)",
         "parts AS (SELECT source AS label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM u JOIN documents ON doc_id = row_id)") + """

@@ -64,6 +64,9 @@ def test_case_text(spark):
 
 def test_page_size_of_transcripts(spark):
     df = spark.range(130).select(F.lit(1).alias("c"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
-    got = context.transcript(df, "c", "turn", "role", "text").orderBy("page").collect()
-    assert [r["n_turns"] for r in got] == [64, 64, 2]
+    pages = context.transcript(df, "c", "turn", "role", "text", 64).orderBy("page").collect()
+    assert [r["n_turns"] for r in pages] == [64, 64, 2]
+    whole = context.transcript(df, "c", "turn", "role", "text").collect()
+    assert [r["n_turns"] for r in whole] == [130] and whole[0]["transcript"] == "\n".join(r["transcript"] for r in pages)
+    got = pages
     assert got[2]["transcript"] == "--- user ---\n128\n--- user ---\n129"

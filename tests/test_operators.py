@@ -50,13 +50,10 @@ def test_citation(spark):
     assert [r["keep"] for r in filters.unknown_citation(df, "e", "t").collect()] == [False, False, False]
 
 
-def test_size_filters(spark, monkeypatch):
+def test_size_filters(spark):
     df = spark.createDataFrame([(i, ["T"], "x" * n) for i, n in enumerate((10, 20, 90))] + [(3, [], "x" * 999)],
                                "case_id int, refactoring_types array<string>, commit_diff string")
-    keep = lambda: sorted(r["case_id"] for r in filters.within_type_size(df).collect())
-    assert keep() == [0, 1, 3]
-    monkeypatch.setattr(filters, "MAX_LABEL_DICTIONARY", 0)
-    assert keep() == [0, 1, 3]
+    assert sorted(r["case_id"] for r in filters.within_type_size(df).collect()) == [0, 1, 3]
     ex = spark.createDataFrame([("d" * 20, [("abc", "defg")])], "commit_diff string, java_examples array<struct<code_before:string,code_after:string>>")
     assert ex.select(filters.estimated_tokens("commit_diff", "java_examples")).first()[0] == 7
     assert filters.within_token_budget(ex, 10).count() == 0
