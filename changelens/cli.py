@@ -49,7 +49,7 @@ def score(spark: SparkSession, a) -> str:
     log = logs.read_tracks(spark, a.root, a.tracks)
     live = [t for t in a.tracks if t not in a.stopped]
     both = ("final_known", "ground_truth_known")
-    shared = scoring.track_scores(scoring.paired_cases(log, live), *both)
+    shared = scoring.shared_track_scores(log, *both, live)
     text = logs.headline(scoring.track_scores(log, *both), shared, scoring.deltas(shared, a.base))
     logs.write_type_report(scoring.type_report(scoring.type_counts(log, *both, "track"), "track"), os.path.join(a.output, "per_type"))
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(a.output, "headline"))

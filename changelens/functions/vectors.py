@@ -63,49 +63,26 @@ def mmr(items, k: int, lam: float = 0.5) -> Column:
 
 # Kernel
 
-CANDIDATE = "query_id string, label string, row_id bigint, sim double, vec array<double>"
+CANDIDATE = "query_id string, label string, row_id bigint, sim double"
 
 
-def best_rows(query_ids, queries, allowed, rows, labels, vectors, k, per_label, normalize=True):
-    """Exact top-k of one batch for every query, ties by row id.
-
-    ``allowed`` maps a query position to its label set, or to None for all labels.
-    Returns at most ``k`` rows per query (and label), never all pairs.
-    """
+def best_rows(query_ids, queries, rows, labels, vectors, k, per_label, normalize=True):
+    """Exact top-k of one batch for every query (and label), ties by row id; never all pairs."""
     order = np.argsort(rows, kind="stable")
     rows, labels, vectors = rows[order], labels[order], vectors[order]
     if normalize:
         vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), EPS)
     sims = np.round(queries @ vectors.T, DIGITS)
+    codes = pd.factorize(labels, use_na_sentinel=False)[0] if per_label else np.zeros(len(labels), dtype=int)
     q_at, c_at = [], []
-    for targets, cols in _scopes(allowed, labels, per_label):
-        picked_q, picked_c = _largest(sims[np.ix_(targets, cols)], k)
-        q_at.append(targets[picked_q])
+    for code in range(codes.max() + 1):
+        cols = np.flatnonzero(codes == code)
+        picked_q, picked_c = _largest(sims[:, cols], k)
+        q_at.append(picked_q)
         c_at.append(cols[picked_c])
-    if not q_at:
-        return None
     qs, cs = np.concatenate(q_at), np.concatenate(c_at)
     return pd.DataFrame({
-        "query_id": np.asarray(query_ids, dtype=object)[qs], "label": labels[cs], "row_id": rows[cs],
-        "sim": sims[qs, cs], "vec": list(vectors[cs]),
-    })
-
-
-def _scopes(allowed, labels, per_label):
-    """Pairs of query positions and row positions that are ranked against each other."""
-    if per_label:
-        for name in np.unique(labels):
-            targets = np.array([i for i, names in enumerate(allowed) if names is None or name in names], dtype=int)
-            if len(targets):
-                yield targets, np.flatnonzero(labels == name)
-        return
-    same = {}
-    for i, names in enumerate(allowed):
-        same.setdefault(None if names is None else frozenset(names), []).append(i)
-    for names, members in same.items():
-        cols = np.arange(len(labels)) if names is None else np.flatnonzero(np.isin(labels, list(names)))
-        if len(cols):
-            yield np.array(members), cols
+        "query_id": np.asarray(query_ids, dtype=object)[qs], "label": labels[cs], "row_id": rows[cs], "sim": sims[qs, cs]})
 
 
 def _largest(part, k):
@@ -120,4 +97,4 @@ def _largest(part, k):
 def keep_best(frames, k, per_label):
     keys = ["query_id", "label"] if per_label else ["query_id"]
     out = pd.concat(frames, ignore_index=True).sort_values(["sim", "row_id"], ascending=[False, True])
-    return out.groupby(keys, sort=False).head(k)
+    return out.groupby(keys, sort=False, dropna=False).head(k)

@@ -1,15 +1,9 @@
-"""Exemplar retrieval: typed top-k, fusion, pooled budgets, diversification.
-
-An index row is scored where it is stored. Each task keeps its best ``k`` rows
-per query and only those are exchanged, so the traffic depends on the number of
-queries and tasks and not on the size of the index.
-"""
+"""Exemplar retrieval: typed top-k, fusion, pooled budgets, diversification."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +11,8 @@ from changelens import labels as L
 from changelens.functions import vectors as V
 from changelens.functions.rows import pos_rows
 
-MAX_BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 32768
-_FLUSH_ROWS = 200_000
+BLOCK_QUERIES = 1024
 
 
 def exemplar_index(table: DataFrame, row_id: str, label: str, embedding: str) -> DataFrame:
@@ -81,93 +74,56 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, per_label: bool = False,
     """Exact top-k rows per query, or per query and label.
 
     ``queries`` is ``(query_id, vec[, targets])``; ``targets`` limits the labels a
-    query may see before it is scored. Returns ``(query_id, label, row_id, sim, vec, rank)``.
-    With few queries their matrix is broadcast; with many, queries and index are
-    cut into blocks that meet pairwise, so neither side is ever held whole.
+    query may see (null: all). Returns ``(query_id, label, row_id, sim, rank)``.
+
+    Queries and index rows meet by scope, a label or the whole index, so a query
+    only meets rows it asks for. A scope is cut into blocks of about ``BLOCK_ROWS`` rows and
+    ``BLOCK_QUERIES`` queries, counted in the plan, so a label that holds most rows is
+    many blocks. Of each pair of blocks ``k`` rows per query leave the task, as ids
+    and scores; vectors are not among them.
     """
     q = queries if "targets" in queries.columns else queries.withColumn(
         "targets", F.lit(None).cast("array<string>"))
-    q = q.select(F.col("query_id").cast("string").alias("query_id"), "vec", "targets")
-    x = index.select("row_id", "label", "embedding")
-    known = q.limit(MAX_BROADCAST_QUERIES + 1).collect()
-    if len(known) <= MAX_BROADCAST_QUERIES:
-        scored = _broadcast_scores(known, x, k, per_label, normalize)
-    else:
-        scored = _block_scores(q, x, k, per_label, normalize)
-    keys = ["query_id", "label"] if per_label else ["query_id"]
-    w = Window.partitionBy(*keys).orderBy(F.desc("sim"), F.asc("row_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(arr), -1)
-
-
-def _query_set(rows):
-    ids = [r["query_id"] for r in rows]
-    mat = np.array([r["vec"] for r in rows], dtype=np.float64)
-    allowed = [None if r["targets"] is None else set(r["targets"]) for r in rows]
-    return ids, mat, allowed
-
-
-def _broadcast_scores(rows, index, k, per_label, normalize):
-    spark = index.sparkSession
-    if not rows:
-        return spark.createDataFrame([], V.CANDIDATE)
-    ids, mat, allowed = _query_set(rows)
-    wanted = None if any(a is None for a in allowed) else set().union(*allowed)
-    if wanted is not None:
-        index = index.where(F.col("label").isin(sorted(wanted)))
-    shared = spark.sparkContext.broadcast((ids, mat, allowed))
-
-    def score(batches):
-        q_ids, q_mat, q_allowed = shared.value
-        held, count = [], 0
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            got = V.best_rows(
-                q_ids, q_mat, q_allowed, b.column("row_id").to_numpy(),
-                b.column("label").to_numpy(zero_copy_only=False), _matrix(b.column("embedding")),
-                k, per_label, normalize)
-            if got is None:
-                continue
-            held.append(got)
-            count += len(got)
-            if count > _FLUSH_ROWS:
-                held = [V.keep_best(held, k, per_label)]
-                count = len(held[0])
-        if held:
-            yield pa.RecordBatch.from_pandas(V.keep_best(held, k, per_label), preserve_index=False)
-
-    return index.mapInArrow(score, V.CANDIDATE)
-
-
-def _block_scores(queries, index, k, per_label, normalize):
-    n_q = max(1, -(-queries.count() // MAX_BROADCAST_QUERIES))
-    n_x = max(1, -(-index.count() // BLOCK_ROWS))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn(
-        "xb", F.explode(F.sequence(F.lit(0), F.lit(n_x - 1))))
-    x = index.withColumn("xb", F.pmod(F.xxhash64("row_id"), F.lit(n_x)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    columns = ["query_id", "label", "row_id", "sim", "vec"]
+    asked = q.select(F.col("query_id").cast("string").alias("query_id"), "vec", F.explode(F.coalesce(
+        F.transform("targets", lambda t: F.struct(t.alias("of"))), F.array(_whole()))).alias("scope"))
+    wanted = asked.groupBy("scope").agg(F.count("*").alias("n_q"))
+    scopes = F.array(F.struct(F.col("label").alias("of")), _whole())
+    rows = index.select("row_id", "label", "embedding", F.explode(scopes if "targets" in queries.columns else F.array(_whole())).alias("scope"))
+    n_rows = rows.select("scope").groupBy("scope").agg(F.count("*").alias("n_x"))
+    cuts = wanted.join(n_rows, "scope").select(
+        "scope", F.ceil(F.col("n_q") / BLOCK_QUERIES).alias("n_q"), F.ceil(F.col("n_x") / BLOCK_ROWS).alias("n_x"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = asked.join(cuts, "scope").select("scope", "query_id", "vec", block("query_id", "n_q").alias("qb"), every("n_x").alias("xb"))
+    right = rows.join(cuts, "scope").select("scope", "row_id", "label", "embedding", block("row_id", "n_x").alias("xb"), every("n_q").alias("qb"))
+    columns = ["query_id", "label", "row_id", "sim"]
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        ids, mat, allowed = _query_set(left.to_dict("records"))
-        held = []
+        ids, mat, held = left["query_id"].to_numpy(), np.stack(left["vec"]).astype(np.float64), []
         for at in range(0, len(right), 4096):
             part = right.iloc[at:at + 4096]
-            got = V.best_rows(ids, mat, allowed, part["row_id"].to_numpy(), part["label"].to_numpy(),
-                              np.stack(part["embedding"]).astype(np.float64), k, per_label, normalize)
-            if got is not None:
-                held.append(got)
-        return V.keep_best(held, k, per_label) if held else pd.DataFrame(columns=columns)
+            held.append(V.best_rows(ids, mat, part["row_id"].to_numpy(), part["label"].to_numpy(),
+                                    np.stack(part["embedding"]).astype(np.float64), k, per_label, normalize))
+        return V.keep_best(held, k, per_label)
+
+    keys = ["scope", "qb", "xb"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, V.CANDIDATE)
+    by = ["query_id", "label"] if per_label else ["query_id"]
+    w = Window.partitionBy(*by).orderBy(F.desc("sim"), F.asc("row_id"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _whole() -> Column:
+    """The scope of all labels."""
+    return F.struct(F.lit(None).cast("string").alias("of"))
+
 
-    return q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(score, V.CANDIDATE)
+def with_vectors(ranked: DataFrame, index: DataFrame, normalize: bool = True) -> DataFrame:
+    """Add ``vec`` to ranked rows: only what was picked fetches its vector."""
+    vec = V.unit("embedding") if normalize else F.col("embedding").cast("array<double>")
+    return ranked.join(index.select("row_id", vec.alias("vec")), "row_id")
 
 
 def retrieve_for_types(queries: DataFrame, index: DataFrame, k: int = 5, top_n: int = 20,
@@ -176,7 +132,7 @@ def retrieve_for_types(queries: DataFrame, index: DataFrame, k: int = 5, top_n:
     top = top_k(queries, index, top_n if use_mmr else k, per_label=True)
     if not use_mmr:
         return top.select("query_id", "label", "row_id", "sim", "rank")
-    items = top.groupBy("query_id", "label").agg(
+    items = with_vectors(top, index).groupBy("query_id", "label").agg(
         F.array_sort(F.collect_list(F.struct("rank", "row_id", "sim", "vec"))).alias("items"))
     picked = pos_rows(items, V.mmr("items", k, lam), "query_id", "label")
     return picked.select("query_id", "label", F.col("x.row_id").alias("row_id"), F.col("x.sim").alias("sim"),
@@ -198,7 +154,7 @@ def retrieve_pooled(queries: DataFrame, index: DataFrame, k: int = 15, normalize
 def pooled_budget(queries: DataFrame, index: DataFrame, k: int = 5, cap: int = 100) -> DataFrame:
     """Pool ``min(k * n_targets, cap)`` rows, keep the best per id, then at most ``k`` per label."""
     sizes = queries.select("query_id", F.least(F.size("targets") * k, F.lit(cap)).alias("budget"))
-    pooled = top_k(queries, index, cap).drop("vec").join(sizes, "query_id").where("rank <= budget")
+    pooled = top_k(queries, index, cap).join(sizes, "query_id").where("rank <= budget")
     best = Window.partitionBy("query_id", "row_id").orderBy("rank")
     once = pooled.withColumn("seen", F.row_number().over(best)).where("seen = 1")
     w = Window.partitionBy("query_id", "label").orderBy("rank")

@@ -6,7 +6,7 @@ its task; only counters per track or per type are exchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens import labels as L
@@ -138,10 +138,21 @@ def paired_cases(df: DataFrame, live: list[str] | None = None, track: str = "tra
     return df.join(common, "case_id", "left_semi")
 
 
+def shared_track_scores(df: DataFrame, predicted: str, truth: str, live: list[str] | None = None, track: str = "track") -> DataFrame:
+    """``track_scores`` over the cases of ``paired_cases``: cases are scored and paired in one grouping of counters."""
+    is_live = F.lit(True) if live is None else F.col(track).isin(live)
+    n_live = df.where(is_live).agg(F.count_distinct(track).alias("n_live"))  # reads the track column only
+    scored = case_metrics(df, predicted, truth, "whitelist")
+    kept = [track, *(["status"] if "status" in df.columns else []), "tp", "fp", "fn"]
+    per_case = scored.groupBy("case_id").agg(
+        F.collect_set(F.when(is_live, F.col(track))).alias("_seen"), F.collect_list(F.struct(*kept)).alias("_rows"))
+    return micro(per_case.where(F.size("_seen") == n_live.scalar()).select(F.inline("_rows")), track)
+
+
 def deltas(scores: DataFrame, base: str, track: str = "track") -> DataFrame:
-    """Rate differences of every track against one of them (one row per track)."""
-    b = scores.where(F.col(track) == base).select(F.struct("p", "r", "f1").alias("b"))
-    rated = scores.where(F.col(track) != base).withColumn("b", b.scalar())
+    """Rate differences of every track against one of them (one row per track, so one window over all of them)."""
+    b = F.max(F.when(F.col(track) == base, F.struct("p", "r", "f1"))).over(Window.partitionBy(F.lit(0)))
+    rated = scores.withColumn("b", b).where((F.col(track) != base) & F.col("b").isNotNull())
     return rated.select(track, *[(F.col(c) - F.col("b")[c]).alias("d_" + c) for c in ("p", "r", "f1")])
 
 

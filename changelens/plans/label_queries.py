@@ -50,8 +50,7 @@ def macro_accuracy(spark, d):
 
 
 def paired_track_delta(spark, d):
-    shared = scoring.paired_cases(runs(spark, d), live=["base", "checked"])
-    out = scoring.deltas(scoring.track_scores(shared, "predicted", "truth"), "base")
+    out = scoring.deltas(scoring.shared_track_scores(runs(spark, d), "predicted", "truth", ["base", "checked"]), "base")
     return _rounded(out, "track", "d_p", "d_r", "d_f1")
 
 

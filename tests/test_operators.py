@@ -134,9 +134,29 @@ def test_topk_paths_agree_with_numpy(spark, monkeypatch):
         return sorted((r["query_id"], r["rank"], r["row_id"]) for r in retrieval.retrieve_pooled(qs, ix, 7).collect())
 
     assert got() == want
-    monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 2)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 2)
     monkeypatch.setattr(retrieval, "BLOCK_ROWS", 25)
     assert got() == want
+    free = qs.drop("targets").union(qs.selectExpr("concat(query_id, 'n')", "vec")).withColumn("targets", F.expr("IF(query_id LIKE '%n', null, array('L1'))"))
+    best = {(f"q{i}{end}", j) for i in range(5) for end, of in (("", ("L1",)), ("n", ("L0", "L1", "L2")))
+            for j in sorted((j for j in range(90) if names[j] in of), key=lambda j: (-sims[i, j], j))[:7]}
+    assert {(r["query_id"], r["row_id"]) for r in retrieval.top_k(free, ix, 7).collect()} == best
+    per = {(f"q{i}", n, j) for i in range(5) for n in ("L0", "L1", "L2")
+           for j in sorted((j for j in range(90) if names[j] == n), key=lambda j: (-sims[i, j], j))[:4]}
+    assert {(r["query_id"], r["label"], r["row_id"]) for r in retrieval.top_k(qs.drop("targets"), ix, 4, per_label=True).collect()} == per
+
+
+def test_more_queries_than_a_block_and_no_job_while_planning(spark):
+    ix = spark.range(300).selectExpr("id AS row_id", "'L' AS label", "array(CAST(cos(id) AS FLOAT), CAST(sin(id) AS FLOAT)) AS embedding")
+    qs = spark.range(5000).selectExpr("CAST(id AS STRING) AS query_id", "array(cos(id * 7D), sin(id * 7D)) AS vec")
+    spark.sparkContext.setJobGroup("plan", "plan")
+    top = retrieval.top_k(qs, ix, 1)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    got = {int(r["query_id"]): r["row_id"] for r in top.collect()}
+    a, b = np.arange(5000) * 7.0, np.arange(300).astype(float)
+    x = np.stack([np.cos(b), np.sin(b)], 1).astype(np.float32).astype(float)
+    sims = np.round(np.stack([np.cos(a), np.sin(a)], 1) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
+    assert got == dict(enumerate(sims.argmax(axis=1).tolist()))
 
 
 def test_replies(spark):
