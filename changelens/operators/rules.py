@@ -37,6 +37,16 @@ def itemset_counts(sets: DataFrame, size: int) -> DataFrame:
     return items.groupBy("items").agg(F.sum("n").alias("n"))
 
 
+def frequent_sets(sets: DataFrame, min_count: int) -> DataFrame:
+    """The sets without labels that fewer than ``min_count`` cases have; no itemset of that support holds one."""
+    if min_count <= 1:
+        return sets
+    items = rows(sets, "labels", "labels", "n", name="label")
+    often = items.groupBy("label").agg(F.sum("n").alias("_c")).where(F.col("_c") >= min_count).select("label")
+    cut = items.join(often, "label").groupBy("labels", "n").agg(F.array_sort(F.collect_list("label")).alias("_l"))
+    return cut.groupBy(F.col("_l").alias("labels")).agg(F.sum("n").alias("n"))
+
+
 def pair_stats(sets: DataFrame) -> DataFrame:
     """Support, confidence, lift and NPMI of every label pair in both directions."""
     total = sets.agg(F.sum("n").alias("n_cases"))
@@ -66,8 +76,10 @@ def association_rules(sets: DataFrame, min_count: int = 1) -> DataFrame:
     """Rules with one or two labels on the left: ``(antecedent, consequent, confidence, lift, score)``.
 
     ``antecedent`` is the sorted labels joined by ``|``; ``score`` is lift times confidence.
+    Labels below ``min_count`` are left out before pairs and triples are formed.
     """
     total = sets.agg(F.sum("n").alias("n_cases"))
+    sets = frequent_sets(sets, min_count)
     counts = {k: itemset_counts(sets, k) for k in (1, 2, 3)}
     single = counts[1].select(F.col("items")[0].alias("consequent"), F.col("n").alias("n_c"))
     out = None

@@ -54,3 +54,13 @@ def test_votes_by_edges_match_votes_in_the_row(spark):
     for cap in (None, 2):
         want = {r[0]: r[1] for r in df.select("case_id", rules.vote_candidates("labels", hints, cap, always=["Z", "A"])).collect()}
         assert {r[0]: r[1] for r in rules.voted_by_edges(df, edges, cap, always=["Z", "A"]).collect()} == want
+
+
+def test_pruned_rules_are_the_frequent_ones(spark):
+    import random
+
+    r = random.Random(1)
+    cases = [(i, sorted(r.sample("ABCDEFGH", r.randint(1, 5)))) for i in range(60)] + [(99, ["A", "rare"])]
+    sets = rules.label_sets(spark.createDataFrame([(i, x) for i, xs in cases for x in xs], "case_id int, label string"))
+    every = {tuple(x) for x in rules.association_rules(sets).where("n_xc >= 9").collect()}
+    assert every and {tuple(x) for x in rules.association_rules(sets, 9).collect()} == every
