@@ -73,12 +73,14 @@ def call_model(requests: DataFrame, model: ModelFn) -> DataFrame:
 def attach_facts(cases: DataFrame, cfg: EngineConfig, extractors: dict | None = None) -> DataFrame:
     """Add ``facts_xml``, ``facts`` and ``tags`` from the configured sources; unknown names are reported.
 
+    ``facts`` sums up the fact rows of all sources together, as the request text shows them.
+
     ``extractors`` maps further source names to functions that yield member rows.
     """
     sources = [] if cfg.disable_facts else [s.strip() for s in cfg.facts_sources.lower().split("+") if s.strip()]
     books = {"ast": None, **(extractors or {})}
     out = cases.withColumn("facts", F.lit(None).cast(SUMMARY_TYPE)).withColumn("tags", F.lit(None).cast("array<string>"))
-    blocks, unknown = [], [s for s in sources if s not in books and s != "intra"]
+    blocks, every, unknown = [], None, [s for s in sources if s not in books and s != "intra"]
     for i, name in enumerate(s for s in sources if s not in unknown):
         if name == "intra":
             found = compute_signals(cases).select("case_id", signals_xml("signals").alias(f"_b{i}"), signal_tags("signals").alias("_tags"))
@@ -87,11 +89,12 @@ def attach_facts(cases: DataFrame, cfg: EngineConfig, extractors: dict | None =
         else:
             extractor = {} if books[name] is None else {"extractor": books[name]}
             facts = compute_facts(cases, cfg.gate_mode, **extractor)
-            summary = facts_summary(facts)
-            packed = summary.select("case_id", F.struct(*SUMMARY).alias("_f"))
-            out = out.join(facts_xml(facts).withColumnRenamed("facts_xml", f"_b{i}"), "case_id", "left").join(packed, "case_id", "left")
-            out = out.withColumn("facts", F.col("_f")).drop("_f")
+            out = out.join(facts_xml(facts).withColumnRenamed("facts_xml", f"_b{i}"), "case_id", "left")
+            every = facts if every is None else every.unionByName(facts)
         blocks.append(f"_b{i}")
+    if every is not None:
+        packed = facts_summary(every).select("case_id", F.struct(*SUMMARY).alias("_f"))
+        out = out.join(packed, "case_id", "left").withColumn("facts", F.col("_f")).drop("_f")
     joined = F.concat_ws("\n\n", *[F.nullif(F.col(b), F.lit("")) for b in blocks])
     out = out.withColumn("facts_xml", joined).drop(*blocks)
     return out.withColumn("fact_errors", F.array(*[F.lit(f"unknown facts source: {u}") for u in unknown]).cast("array<string>"))

@@ -90,3 +90,13 @@ def test_repeated_calls_must_agree(spark):
     row = stages.run_stages(cases, fickle, EngineConfig(detect_calls=3, disable_facts=True), with_retrieval=False).first()
     assert row["final_types"] == ["Add Parameter"]
     assert row["levels"] == ["parameter_level", "method_level", "class_level"]
+
+
+def test_facts_of_several_sources_add_up(spark):
+    from changelens.operators import structure
+
+    case = ("c1", None, DIFF, [("m.py", "class A:\n    def f(self): pass\n")], [("m.py", "class A:\n    def g(self): pass\n")], ["Rename Method"])
+    cases = spark.createDataFrame([case], CASE_SCHEMA)
+    silent = lambda changes: structure.members(changes).where("false")
+    names = lambda *sources: stages.attach_facts(cases, replace(CFG, facts_sources="+".join(sources)), {"silent": silent}).select("facts.methods_added", "facts.methods_removed").first()
+    assert names("ast") == names("ast", "silent") == names("silent", "ast") == (["g"], ["f"])
