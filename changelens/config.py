@@ -69,7 +69,15 @@ class EngineConfig:
         return self.no_think or self.precision_mode
 
 
+# Up to how many detected labels, and what the cap then is beyond its base (None: any number).
+CAP_STEPS = [(0, 0), (2, -2), (5, 0), (10, 3), (None, 5)]
+LEAST_CAP = 4
+
+
+def cap_steps(base: int = 7) -> list[tuple[int | None, int]]:
+    """Candidate caps that grow with the number of detected labels: ``(up to, cap)``."""
+    return [(limit, max(LEAST_CAP, base + more) if more < 0 else base + more) for limit, more in CAP_STEPS]
+
+
 def adaptive_cap(detected: int, base: int = 7) -> int:
-    """Candidate cap that grows with the number of detected labels."""
-    steps = [(0, base), (2, max(4, base - 2)), (5, base), (10, base + 3)]
-    return next((cap for limit, cap in steps if detected <= limit), base + 5)
+    return next(cap for limit, cap in cap_steps(base) if limit is None or detected <= limit)

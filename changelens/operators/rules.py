@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens import labels as L
-from changelens.config import EngineConfig, adaptive_cap
+from changelens.config import EngineConfig, cap_steps
 from changelens.functions.rows import let, rows
 from changelens.functions.text import _c
 
@@ -165,9 +165,7 @@ def missing_candidates(detected, levels, cfg: EngineConfig, hints: dict[str, lis
     hybrid = L.CURATED_HINTS if cfg.hints_hybrid and hints is not None else None
     limit: int | Column = cap if cap is not None else cfg.missing_cap
     if cap is None and cfg.adaptive_cap:
-        n, base = F.size(_c(detected)), cfg.missing_cap
-        limit = F.when(n == 0, base).when(n <= 2, adaptive_cap(1, base)).when(n <= 5, base).when(
-            n <= 10, adaptive_cap(6, base)).otherwise(adaptive_cap(11, base))
+        limit = F.coalesce(*[F.when(F.lit(True) if most is None else F.size(_c(detected)) <= most, n) for most, n in cap_steps(cfg.missing_cap)])
     voted = vote_candidates(detected, active, limit, hybrid, [] if cfg.drop_always_check else L.ALWAYS_CHECK)
     return F.when(F.size(_c(detected)) > 0, voted).otherwise(level_types(levels))
 

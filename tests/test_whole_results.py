@@ -64,3 +64,11 @@ def test_pruned_rules_are_the_frequent_ones(spark):
     sets = rules.label_sets(spark.createDataFrame([(i, x) for i, xs in cases for x in xs], "case_id int, label string"))
     every = {tuple(x) for x in rules.association_rules(sets).where("n_xc >= 9").collect()}
     assert every and {tuple(x) for x in rules.association_rules(sets, 9).collect()} == every
+
+
+def test_names_inside_stray_marks(spark):
+    from changelens.functions import replies
+
+    given = ["Move Class", " <type>Move Class</type", "<x>'Move Class'", '""Move Class""', "<open Move Class", "a < b < c", " ' Move Class ' ", "", "\n<type evidence=\"e\">Move\nClass </type>x"]
+    df = spark.createDataFrame([(g,) for g in given], "t string")
+    assert [r[0] for r in df.select(replies.clean_name("t")).collect()] == ["Move Class", "Move Class", "Move Class", "Move Class", "", "a", "Move Class", "", "Move\nClass </type>x"]
