@@ -2,8 +2,8 @@
 
 1. Every task counts the pre-tokens of its texts; the counts meet in one aggregation: the distinct pre-tokens.
 2. Each distinct pre-token is encoded once, for its number of pieces; the table is stored.
-3. Per document, pre-token frequencies are joined to that table and summed. The `known` most frequent
-   pre-tokens (a fixed number, so a bounded broadcast) are looked up where the document is; the rest
+3. Per document, pre-token frequencies are joined to that table and summed. The most frequent
+   pre-tokens (`known` at most, so a bounded broadcast) are looked up where the document is; the rest
    are exchanged and joined with the stored table, so every pre-token counts.
 
 Defined results: null and empty texts have no bytes and no tokens; repeated rows and repeated or null ids give a
@@ -60,11 +60,23 @@ def piece_counts(distinct: DataFrame, tokenizer: str) -> DataFrame:
     return distinct.mapInArrow(run, "pretoken binary, freq long, n_pieces long")
 
 
+def frequent(pieces: DataFrame, known: int) -> int:
+    """The least frequency that at most `known` pre-tokens reach, found on a histogram of 16 steps for each doubling."""
+    step = F.floor(F.log2("freq") * 16)
+    total, least = 0, 2**62
+    for r in pieces.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("freq").alias("low")).orderBy(F.desc("s")).collect():
+        total += r.n
+        if total > known:
+            break
+        least = r.low
+    return least
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, known: int = KNOWN) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than `limit`) for every document."""
     spark = docs.sparkSession
     pieces = stored(piece_counts(pretoken_counts(docs), tokenizer), "pieces")
-    top = pieces.orderBy(F.desc("freq"), "pretoken").limit(known).select("pretoken", "n_pieces").toPandas()
+    top = pieces.filter(F.col("freq") >= frequent(pieces, known)).select("pretoken", "n_pieces").toPandas()
     shared = spark.sparkContext.broadcast(dict(zip(map(bytes, top["pretoken"]), top["n_pieces"].tolist(), strict=True)))
 
     def make():
