@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from changelens.functions.rows import rows
 from changelens.operators import filters, sampling, scoring
+from changelens.plans.session import ship
 from changelens.sources import cases, logs
 
 
@@ -83,6 +84,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
     session = spark or SparkSession.builder.appName("changelens").getOrCreate()
+    ship(session)
     print({"clean": clean, "schedule": schedule, "score": score}[a.command](session, a))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,21 @@ def local_session(name: str = "changelens", cores: int | str = "*") -> SparkSess
     return session
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once for each context, so that their Python can import it from any folder."""
+    context = spark.sparkContext
+    if getattr(context, "changelens_zip", None) is None:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        root = os.path.dirname(package)
+        context.changelens_zip = os.path.join(tempfile.mkdtemp(prefix="changelens-"), "changelens.zip")
+        with zipfile.ZipFile(context.changelens_zip, "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+        context.addPyFile(context.changelens_zip)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a private one only in local mode, where none is needed."""
     named = spark.conf.get("spark.checkpoint.dir", None)
