@@ -171,7 +171,7 @@ def level_glossary(definitions: DataFrame, terms: DataFrame, compounds: DataFram
     """``(level, reference_xml)`` from the definition, term and compound-note tables.
 
     Labels are matched to definitions by exact name; terms are the words of the
-    label names, two-word actions included.
+    label names and the runs of words in them, so they meet in an equality join.
     """
     spark = definitions.sparkSession
     types = spark.createDataFrame(
@@ -179,8 +179,10 @@ def level_glossary(definitions: DataFrame, terms: DataFrame, compounds: DataFram
     defs = types.join(definitions.select("type", "definition"), "type").where("definition <> ''").groupBy("level").agg(
         F.array_sort(F.collect_list(F.struct("ord", F.concat(
             F.lit('    <definition type="'), "type", F.lit('">'), "definition", F.lit("</definition>")).alias("x")))).alias("v"))
-    word = F.concat(F.lit(" "), F.replace("type", F.lit(" And "), F.lit(" ")), F.lit(" "))
-    used = types.join(F.broadcast(terms), F.contains(word, F.concat(F.lit(" "), F.col("term"), F.lit(" ")))).select(
+    word = F.split(F.replace("type", F.lit(" And "), F.lit(" ")), " ")
+    runs = F.flatten(F.transform(word, lambda _, i: F.transform(
+        F.sequence(F.lit(1), F.size(word) - i), lambda n: F.array_join(F.slice(word, i + 1, n), " "))))
+    used = types.select("level", F.explode(F.array_distinct(runs)).alias("term")).join(terms, "term").select(
         "level", "role", "term", "text").distinct()
     glossary = used.groupBy("level").agg(F.array_sort(F.collect_list(F.struct("role", "term", F.concat(
         F.lit('    <term name="'), "term", F.lit('" role="'), "role", F.lit('">'), "text", F.lit("</term>")).alias("x")))).alias("v"))

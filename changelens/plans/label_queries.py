@@ -39,12 +39,11 @@ def track_scores(spark, d):
 
 
 def per_type_confusion(spark, d):
-    r = runs(spark, d).where("track = 'gated'")
-    return scoring.per_type(r, "predicted", "truth").select("type", "tp", "fp", "fn", "tn", "precision", "recall", "accuracy", "f1")
+    return scoring.per_type(runs(spark, d), "predicted", "truth").select("type", "tp", "fp", "fn", "tn", "precision", "recall", "accuracy", "f1")
 
 
 def macro_accuracy(spark, d):
-    per = scoring.per_type(runs(spark, d).where("track = 'gated'"), "predicted", "truth")
+    per = scoring.per_type(runs(spark, d), "predicted", "truth")
     return scoring.macro_accuracy(per).select(F.round("macro_accuracy", 6).alias("macro_accuracy"))
 
 
@@ -270,6 +269,17 @@ def _div(a, b):
 
 
 _PRF = f"""round({_div('tp', 'tp + fp')}, 9) AS p, round({_div('tp', 'tp + fn')}, 9) AS r, round({_div('2.0 * tp', '2 * tp + fp + fn')}, 9) AS f1"""
+def status_sql(status: str) -> str:
+    """Micro scores where a status per case decides what counts."""
+    return f"""WITH {_ROWS}, st AS (SELECT case_id, track, {status} AS status FROM runs),
+pok AS (SELECT pn.* FROM pn JOIN st USING (case_id, track) WHERE status = 'OK'), gok AS (SELECT gn.* FROM gn JOIN st USING (case_id, track) WHERE status = 'OK'),
+s AS ({_counts('pok', 'gok', 'k', "coalesce(a.track, b.track) AS track")}),
+e AS (SELECT g.track, count(*) AS more FROM gn g JOIN st USING (case_id, track) ANTI JOIN pn p ON p.case_id = g.case_id AND p.track = g.track AND p.k = g.k WHERE status = 'ERROR' GROUP BY 1),
+n AS (SELECT track, count(*) AS n, count(*) FILTER (status = 'SKIPPED') AS skipped FROM st GROUP BY track),
+f AS (SELECT track, n, skipped, tp, fp, s.fn + coalesce(more, 0) AS fn FROM n JOIN s USING (track) LEFT JOIN e USING (track))
+SELECT track, n, skipped, tp, fp, fn, {_PRF} FROM f"""
+
+
 _BY_TRACK = "coalesce(a.track, b.track) AS track"
 _N = "n AS (SELECT track, count(*) AS n FROM runs GROUP BY track)"
 _SHARED = """common AS (SELECT case_id FROM runs WHERE track IN ('base', 'checked') GROUP BY case_id HAVING count(DISTINCT track) = 2)"""
@@ -334,12 +344,12 @@ SELECT r.case_id, r.track, count(*) FILTER (pt IS NOT NULL AND gt IS NOT NULL) A
 count(*) FILTER (pt IS NULL AND gt IS NOT NULL) AS fn, coalesce(string_agg(gt, '|' ORDER BY gt) FILTER (pt IS NULL), '') AS missed,
 coalesce(string_agg(pt, '|' ORDER BY pt) FILTER (gt IS NULL), '') AS false_alarms FROM runs r LEFT JOIN f ON r.case_id = f.case_id AND r.track = f.track GROUP BY ALL""",
     "track_scores": _TRACKS,
-    "per_type_confusion": f"""WITH {_ROWS}, p1 AS (SELECT * FROM pn WHERE track = 'gated'), g1 AS (SELECT * FROM gn WHERE track = 'gated'),
-s AS ({_counts('p1', 'g1', 'k', 'coalesce(a.k, b.k) AS type')}), m AS (SELECT count(*) AS n FROM runs WHERE track = 'gated')
+    "per_type_confusion": f"""WITH {_ROWS}, p1 AS (SELECT * FROM pn), g1 AS (SELECT * FROM gn),
+s AS ({_counts('p1', 'g1', 'k', 'coalesce(a.k, b.k) AS type')}), m AS (SELECT count(*) AS n FROM runs)
 SELECT type, tp, fp, fn, n - tp - fp - fn AS tn, round({_div('tp', 'tp + fp')}, 4) AS precision, round({_div('tp', 'tp + fn')}, 4) AS recall,
 round((n - fp - fn) / n, 4) AS accuracy, round({_div('2.0 * tp', '2 * tp + fp + fn')}, 4) AS f1 FROM s, m""",
-    "macro_accuracy": f"""WITH {_ROWS}, p1 AS (SELECT * FROM pn WHERE track = 'gated'), g1 AS (SELECT * FROM gn WHERE track = 'gated'),
-s AS ({_counts('p1', 'g1', 'k', 'coalesce(a.k, b.k) AS type')}), m AS (SELECT count(*) AS n FROM runs WHERE track = 'gated')
+    "macro_accuracy": f"""WITH {_ROWS}, p1 AS (SELECT * FROM pn), g1 AS (SELECT * FROM gn),
+s AS ({_counts('p1', 'g1', 'k', 'coalesce(a.k, b.k) AS type')}), m AS (SELECT count(*) AS n FROM runs)
 SELECT round(avg(round((n - fp - fn) / n, 4)), 6) AS macro_accuracy FROM s, m""",
     "paired_track_delta": f"""WITH {_ROWS}, {_SHARED}, p2 AS (SELECT * FROM px SEMI JOIN common USING (case_id)), g2 AS (SELECT * FROM gx SEMI JOIN common USING (case_id)),
 s AS ({_counts('p2', 'g2', 't', _BY_TRACK)}), q AS (SELECT track, {_div('tp', 'tp + fp')} AS p, {_div('tp', 'tp + fn')} AS r, {_div('2.0 * tp', '2 * tp + fp + fn')} AS f1 FROM s)
