@@ -10,7 +10,7 @@ from __future__ import annotations
 import argparse
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.functions.rows import rows
@@ -21,9 +21,10 @@ from changelens.sources import cases, logs
 
 def clean(spark: SparkSession, a) -> str:
     cleaned = cases.clean_cases(cases.read_cases(spark, a.input, a.lines))
-    cleaned.drop("chars_before", "chars_after").write.mode("overwrite").json(a.output)
-    r = cases.reduction(cleaned).first()
-    return f"code chars: {r['chars_before']} -> {r['chars_after']} ({r['reduction_pct']:.1f}% reduction)"
+    totals = Observation("chars")  # summed while the cleaned cases are written
+    cleaned.observe(totals, *cases.char_totals()).drop("chars_before", "chars_after").write.mode("overwrite").json(a.output)
+    before, after = totals.get["chars_before"], totals.get["chars_after"]
+    return f"code chars: {before} -> {after} ({(1 - after / before) * 100 if before else 0.0:.1f}% reduction)"
 
 
 def schedule(spark: SparkSession, a) -> str:
@@ -40,7 +41,7 @@ def schedule(spark: SparkSession, a) -> str:
     order = sampling.round_robin(labelled, a.per_type, done, counts)
     if a.max_examples:
         order = order.where(F.col("round_robin_index") < a.max_examples)
-    todo = order.withColumnRenamed("type", "scheduled_for_type").join(found.dropDuplicates(["case_id"]), "case_id")
+    todo = order.withColumnRenamed("type", "scheduled_for_type").join(cases.one_per_case(found), "case_id")
     todo.write.mode("overwrite").json(a.output)
     return f"scheduled {order.count()} cases"
 

@@ -121,7 +121,18 @@ def clean_cases(cases: DataFrame) -> DataFrame:
     return out.withColumn("chars_after", chars(out))
 
 
+def char_totals() -> list[Column]:
+    """Characters before and after cleaning, over all cases."""
+    return [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("chars_before", "chars_after")]
+
+
 def reduction(cleaned: DataFrame) -> DataFrame:
-    total = cleaned.agg(F.sum("chars_before").alias("chars_before"), F.sum("chars_after").alias("chars_after"))
-    return total.withColumn("reduction_pct", F.when(
+    return cleaned.agg(*char_totals()).withColumn("reduction_pct", F.when(
         F.col("chars_before") > 0, (1 - F.col("chars_after") / F.col("chars_before")) * 100).otherwise(F.lit(0.0)))
+
+
+def one_per_case(cases: DataFrame) -> DataFrame:
+    """One row per ``case_id``, the same on every run: the one with the smallest digest of its diff and labels."""
+    order = F.md5(F.concat_ws("|", F.coalesce("commit_diff", F.lit("")), F.to_json("refactoring_types"), "url"))
+    kept = cases.groupBy("case_id").agg(F.min_by(F.struct(*cases.columns), order).alias("_row"))
+    return kept.select("_row.*")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from changelens import schemas
 from changelens.operators.sampling import unfinished
 from changelens.sources import logs
-from changelens.sources.cases import normalize
+from changelens.sources.cases import normalize, one_per_case
 
 Predict = Callable[[dict, list], list]
 
@@ -57,13 +57,16 @@ def run_incremental(spark: SparkSession, source: str, log_path: str, checkpoint:
     """
     stream = (spark.readStream.schema(schemas.RAW_CASE).option("maxFilesPerTrigger", max_files).json(source))
 
-    def one_batch(batch: DataFrame, _epoch: int) -> None:
+    ran: set[int] = set()
+
+    def one_batch(batch: DataFrame, epoch: int) -> None:
         cases = normalize(batch)
         done = logs.finished_cases(logs.read_log(batch.sparkSession, log_path))
-        open_cases = unfinished(cases.dropDuplicates(["case_id"]), done)
+        open_cases = unfinished(one_per_case(cases), done)
         logs.append_log(logs.case_record(process(open_cases)), log_path)
+        ran.add(epoch)
 
     query = (stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return len([p for p in query.recentProgress if p["numInputRows"] > 0])
+    return len(ran)
