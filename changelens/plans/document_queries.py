@@ -237,6 +237,15 @@ k AS (SELECT DISTINCT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY typ
 SELECT doc_id AS case_id, row_number() OVER (ORDER BY {_MD5.format('doc_id')}) AS pos FROM k""",
     "round_robin_quota": f"""SELECT * FROM (SELECT doc_id AS case_id, lang AS type,
 row_number() OVER (PARTITION BY lang ORDER BY {_MD5.format("lang || '|' || doc_id")}) AS round FROM documents) WHERE round <= 30""",
+    "round_robin_schedule": """WITH RECURSIVE r AS (SELECT DISTINCT doc_id AS k, t AS type FROM (SELECT doc_id, lang AS t FROM documents UNION ALL SELECT doc_id, source FROM documents)
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+ls AS (SELECT type, list(k ORDER BY md5('42|' || type || '|' || k), k) AS ks, row_number() OVER (ORDER BY type) - 1 AS ti FROM r GROUP BY type),
+n AS (SELECT count(*) AS n FROM ls),
+f(s, taken, pick, type) AS (SELECT CAST(-1 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)
+UNION ALL SELECT s + 1, CASE WHEN p IS NULL THEN taken ELSE list_append(taken, p) END, p, ty FROM (
+  SELECT f.s, f.taken, ls.type AS ty, [k FOR k IN ls.ks IF NOT list_contains(f.taken, k)][1] AS p
+  FROM f, n, ls WHERE ls.ti = (f.s + 1) % n.n AND f.s + 1 < 4 * n.n))
+SELECT row_number() OVER (ORDER BY s) - 1 AS round_robin_index, type, pick AS case_id FROM f WHERE pick IS NOT NULL""",
     "resume_anti_join": """SELECT o_orderkey AS case_id, o_orderpriority AS type FROM orders
 WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
     "open_quota": """SELECT o_orderpriority AS type, greatest(0, 1500 - count(*) FILTER (o_orderstatus = 'F')) AS quota FROM orders GROUP BY 1""",

@@ -21,6 +21,4 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_registry():
-    assert set(registry.ORACLE) <= set(registry.QUERIES)
-    without_sql = set(registry.QUERIES) - set(registry.ORACLE)
-    assert without_sql == {"round_robin_schedule"}
+    assert set(registry.ORACLE) == set(registry.QUERIES)
