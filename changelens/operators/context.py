@@ -37,6 +37,13 @@ def synthesized_diff(before, after) -> Column:
     return F.coalesce(F.array_join(F.transform(pairs, part), "\n"), F.lit(""))
 
 
+def case_summary(cases: DataFrame) -> Column:
+    """The five fields that tell a case apart, empty where the case has none."""
+    texts = [F.coalesce(F.col(c), F.lit("")) if c in cases.columns else F.lit("") for c in ("url", "repository", "sha1", "commit_diff")]
+    labels = F.coalesce(F.col("refactoring_types"), F.array().cast("array<string>"))
+    return F.struct(texts[0].alias("url"), texts[1].alias("repository"), texts[2].alias("sha1"), labels.alias("refactoring_types"), texts[3].alias("commit_diff"))
+
+
 def summarize_exemplars(exemplars, limit: int = 20, chars: int = 1500) -> Column:
     return F.transform(F.slice(_c(exemplars), 1, limit), lambda x: F.struct(
         x["id"].alias("id"), x["refactoring_type"].alias("refactoring_type"), x["similarity"].alias("similarity"),

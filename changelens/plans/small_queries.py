@@ -92,11 +92,18 @@ def level_reference(spark, d):
     return C.level_glossary(defs, terms, notes).select("level", F.md5("reference_xml").alias("md5"))
 
 
+def case_summaries(spark, d):
+    """The five telling fields of every derived case; fields it lacks are empty."""
+    c = D.cases(spark, d)
+    s = c.select("case_id", C.case_summary(c).alias("s"))
+    return s.select("case_id", "s.url", "s.repository", "s.sha1", F.array_join("s.refactoring_types", "|").alias("types"), F.md5("s.commit_diff").alias("diff_md5"))
+
+
 _TERMS = [("action", "Extract"), ("action", "Move"), ("target", "Class"), ("target", "Method"), ("target", "Parameter"), ("action", "absent")]
 
 
 QUERIES = {f.__name__: f for f in (
-    status_scores, level_replies, code_text_split, anchor_ids, exemplar_summary, log_counts, tree_children, level_reference)}
+    status_scores, level_replies, code_text_split, anchor_ids, exemplar_summary, log_counts, tree_children, level_reference, case_summaries)}
 
 
 def _level_sql() -> str:
@@ -124,4 +131,5 @@ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM
     "log_counts": f"WITH {D.DUCK_RUNS} SELECT truth[1] AS type, count(*) AS n FROM runs WHERE track = 'base' AND truth[1] <> '' GROUP BY 1",
     "tree_children": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 3 END::BIGINT AS n_rows, 'f:' || o_orderkey || CASE WHEN o_orderstatus = 'F' THEN ',g:6' ELSE '' END AS methods FROM orders""",
     "level_reference": _level_sql(),
+    "case_summaries": f"SELECT CAST(o_orderkey AS VARCHAR) AS case_id, {D.URL} AS url, '' AS repository, '' AS sha1, array_to_string({D.duck_labels(D.TRUTH)}, '|') AS types, md5({D.DIFF}) AS diff_md5 FROM orders",
 }

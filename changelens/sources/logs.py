@@ -78,6 +78,21 @@ def markdown_table(df: DataFrame, columns: list[str]) -> str:
     return "\n".join(head + ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in df.select(*columns).collect()])
 
 
+def evaluation_text(totals: DataFrame, per_type: DataFrame, undefined: DataFrame, top: int = 10) -> str:
+    """Totals of one run, its labels that occur, and its most frequent labels outside the label space.
+
+    ``totals`` is one row of ``scoring.micro``, ``per_type`` comes from ``scoring.per_type``, ``undefined`` from
+    ``scoring.undefined_counts``; only label rows and ``top`` unknown ones are read.
+    """
+    seen = per_type.where(F.col("tp") + F.col("fp") + F.col("fn") > 0).orderBy("type")
+    all_unknown = undefined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("detections"), F.count("*").alias("labels"))
+    return "\n\n".join([
+        "## Known labels", markdown_table(totals, ["n", "skipped", "tp", "fp", "fn", "p", "r", "f1"]),
+        "## By label", markdown_table(seen, ["type", "tp", "fp", "fn", "precision", "recall", "f1"]),
+        "## Unknown labels", markdown_table(all_unknown, ["detections", "labels"]),
+        markdown_table(undefined.orderBy(F.desc("n"), "type").limit(top), ["type", "n"])]) + "\n"
+
+
 def headline(tracks: DataFrame, paired: DataFrame, changes: DataFrame) -> str:
     """Per-track scores, scores on the shared cases, and differences to the base track."""
     rates = ["n", "tp", "fp", "fn", "p", "r", "f1"]

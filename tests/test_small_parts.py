@@ -74,3 +74,15 @@ def test_evaluation_and_failure_sinks(spark, tmp_path):
     logs.write_failures(df, str(tmp_path / "fail"))
     assert spark.read.json(str(tmp_path / "evaluation_s1")).count() == 1
     assert spark.read.json(str(tmp_path / "fail")).count() == 2
+
+
+def test_evaluation_text(spark):
+    from changelens.operators import scoring
+    from changelens.sources import logs
+
+    rows = [(["Move Class", "odd"], ["Move Class"], "OK"), (["Add Parameter", "odd", "rare"], ["Move Class"], "OK"), ([], ["Move Class"], "ERROR"), ([], ["Add Parameter"], "SKIPPED")]
+    df = spark.createDataFrame(rows, "p array<string>, t array<string>, status string")
+    text = logs.evaluation_text(scoring.micro(scoring.case_metrics(df, "p", "t")), scoring.per_type(df, "p", "t"), scoring.undefined_counts(df, "p"), top=1)
+    assert "| 4 | 1 | 1 | 1 | 2 | 0.500 | 0.333 | 0.400 |" in text
+    assert "| 1 | 0 | 1 | 1.000 | 0.500 |" in text and "rename" not in text
+    assert "| 3 | 2 |" in text and "| odd | 2 |" in text and "rare" not in text
