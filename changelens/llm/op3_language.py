@@ -20,6 +20,7 @@ get a result; empty tables give no rows; extra columns pass through `keep_known`
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,7 @@ from changelens.llm.common import map_rows, packed, stored
 TRAIN_ROWS = 4000
 MAX_LANGUAGES = 32
 FEATURES = 1 << 15
+PART_BYTES = 2 << 20
 #: Trigrams after which more text adds little; strength of the smoothing in rows; weight of a class in unseen data.
 TEMPER, STRENGTH, REJECT = 200.0, 5.0, 0.5
 UND = "und"
@@ -57,9 +59,16 @@ class Model:
 
     def posterior(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tempered log likelihoods (rows x classes) and whether a text has letters."""
-        h, starts = features(texts)
-        seen = np.add.reduceat((h != _BLANK).astype(np.int64), starts[:-1]) if texts else np.zeros(0, np.int64)
-        score = np.stack([np.add.reduceat(row[h], starts[:-1]) for row in self.loglik], axis=1) if texts else np.zeros((0, len(self.loglik)))
+        seen, score = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.loglik)))
+        ends = np.cumsum([len(t) for t in texts])
+        at = 0
+        while at < len(texts):  # some texts at a time bound the arrays of features
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")))
+            h, starts = features(texts[at:end])
+            seen[at:end] = np.add.reduceat(h != _BLANK, starts[:-1], dtype=np.int64)
+            for i, row in enumerate(self.loglik):
+                score[at:end, i] = np.add.reduceat(row[h], starts[:-1])
+            at = end
         return score / (1 + seen / TEMPER)[:, None], seen > 0
 
 
@@ -82,9 +91,18 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
 
         return run
 
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            lang, feature, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "feature", "n"))
+            for x in np.unique(lang):
+                held.setdefault(int(x), np.zeros(FEATURES, np.int64))[feature[lang == x]] += n[lang == x]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["lang", "counts"])
+
     counts = np.zeros((len(names), FEATURES))
-    for r in map_rows(rows.select("text", "lang"), make, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas().itertuples():
-        counts[r.lang, r.feature] = r.n
+    found = map_rows(rows.select("text", "lang"), make, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    for r in found.repartition("lang").mapInArrow(dense, "lang int, counts binary").collect():  # one row for each language
+        counts[r.lang] += np.frombuffer(r.counts, np.int64)
     loglik = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * FEATURES))
     loglik = np.concatenate([loglik, np.full((1, FEATURES), -np.log(FEATURES))]).astype(np.float32)
     loglik[:, _BLANK] = 0
@@ -125,11 +143,14 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
     return map_rows(rows, make, schema)
 
 
-def _share(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    parts = [F.exp(x - top) for x in logs]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def _share(logs: str) -> Column:
+    """Probabilities from an array column of log weights."""
+    parts = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+    return F.transform(F.array(parts), lambda p: F.transform(p, lambda x: x / _mass(p)))[0]
+
+
+def _mass(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
 def fuse(scored: DataFrame, model: Model) -> DataFrame:
@@ -138,51 +159,47 @@ def fuse(scored: DataFrame, model: Model) -> DataFrame:
     The table has the columns declared, suffix, domain and host (any may be null) beside score and has_text.
     """
     n = len(model.languages)
-    own = [F.when(F.col("has_text"), q).otherwise(0.0) for q in _share([F.col("score")[i] for i in range(n)])]
-    sums = [F.sum(q).alias(f"n{i}") for i, q in enumerate(own)]
+    zero = F.array(*[F.lit(0.0)] * n)
+    scored = scored.withColumn("own", F.when(F.col("has_text"), _share("score")).otherwise(zero))
+    sums = [F.sum(F.col("own")[i]) for i in range(n)]
     known = F.when(F.col("declared").isin(model.languages[:-1]), F.col("declared"))
-    total = [x or 0.0 for x in scored.agg(*sums).first()]
-    by_markup = {r[0]: r[1:] for r in scored.groupBy(known.alias("d")).agg(*sums).collect()}
-    base = [(x + 1) / (sum(total) + n) for x in total]
-    rows = scored.select("*", F.array(*own).alias("own"), F.lit(0).alias("_one"))
-
-    def grouped(name: str, prefix: str) -> DataFrame:
-        return scored.filter(F.col(name).isNotNull()).groupBy(name).agg(F.array(*[F.sum(q) for q in own]).alias(prefix))
-
-    hosts = scored.filter("host IS NOT NULL").groupBy("host").agg(F.array(*[F.sum(q) for q in own]).alias("nh"), F.min("domain").alias("domain"), F.min("suffix").alias("suffix"))
+    by_markup = {r[0]: [x or 0.0 for x in r[1:]] for r in scored.groupBy(known.alias("d")).agg(*sums).collect()}
+    total = [sum(x[i] for x in by_markup.values()) for i in range(n)]
+    told = [sum(x[i] for k, x in by_markup.items() if k) for i in range(n)]
+    rates = {}
+    for d in model.languages[:-1]:
+        usual = [0.9 if x == d else 0.1 / max(1, n - 1) for x in model.languages]
+        rates[d] = [(by_markup.get(d, [0.0] * n)[i] + STRENGTH * usual[i]) / (told[i] + STRENGTH) for i in range(n)]
+    lits = lambda values: F.array(*[F.lit(float(x)) for x in values])
+    markup = F.create_map(*[x for d, r in rates.items() for x in (F.lit(d), lits(r))]) if rates else F.lit(None).cast("map<string,array<double>>")
+
+    def grouped(name: str, counts: str) -> DataFrame:
+        return scored.filter(F.col(name).isNotNull()).groupBy(name).agg(F.array(*sums).alias(counts))
+
+    hosts = scored.filter("host IS NOT NULL").groupBy("host").agg(F.array(*sums).alias("nh"), F.min("domain").alias("domain"), F.min("suffix").alias("suffix"))
     hosts = hosts.join(grouped("domain", "nd"), "domain", "left").join(grouped("suffix", "ns"), "suffix", "left").select("host", "nh", "nd", "ns")
-    rows = rows.join(hosts, "host", "left").drop("_one")
-
-    zero = F.array(*[F.lit(0.0)] * n)
-    own_, nh, nd, ns = F.col("own"), F.coalesce("nh", zero), F.coalesce("nd", zero), F.coalesce("ns", zero)
-    has_host, has_suffix = F.col("nh").isNotNull(), F.col("ns").isNotNull()
-    mass = lambda a: sum((a[i] for i in range(1, n)), a[0])
-    logs = []
-    for i in range(n):
-        own_d = F.when(F.col("nd").isNotNull(), own_[i]).otherwise(0.0)
-        p_domain = (F.greatest(nd[i] - own_d, F.lit(0.0)) + STRENGTH * base[i]) / (F.greatest(mass(nd) - F.when(F.col("nd").isNotNull(), mass(own_)).otherwise(0.0), F.lit(0.0)) + STRENGTH)
-        p_host = (F.greatest(nh[i] - own_[i], F.lit(0.0)) + STRENGTH * p_domain) / (F.greatest(mass(nh) - mass(own_), F.lit(0.0)) + STRENGTH)
-        prior = F.when(has_host, p_host).otherwise(F.lit(base[i]))
-        share = (mass(ns) + 1) / (sum(total) + 1)
-        suffix = F.when(has_suffix, (F.greatest(ns[i] - own_[i], F.lit(0.0)) + STRENGTH * share) / (F.lit(total[i]) + STRENGTH)).otherwise(F.lit(1.0))
-        markup = F.lit(1.0)
-        for d in model.languages[:-1]:
-            seen = by_markup.get(d, [0.0] * n)
-            rate = (seen[i] + STRENGTH * (0.9 if model.languages[i] == d else 0.1 / max(1, n - 1))) / (sum(x[i] for k, x in by_markup.items() if k) + STRENGTH)
-            markup = F.when(F.col("declared") == d, F.lit(rate)).otherwise(markup)
-        logs.append(F.col("score")[i] + F.log(prior) + F.log(suffix) + F.log(markup))
-    rows = rows.withColumn("post", F.array(*_share(logs)))
+    rows = scored.join(hosts, "host", "left").withColumn("markup", F.try_element_at(markup, F.col("declared")))
+    for c in ("nh", "nd", "ns"):  # a row's own share is left out
+        rows = rows.withColumn(c, F.transform(F.arrays_zip(F.col(c).alias("c"), F.col("own").alias("own")), lambda x: F.greatest(x["c"] - x["own"], F.lit(0.0))))
+    rows = rows.withColumns({f"m{c}": _mass(F.col(c)) for c in ("nh", "nd", "ns")})
+    base, all_ = lits([(x + 1) / (sum(total) + n) for x in total]), lits(total)
+
+    def log_of(score: Column, i: Column) -> Column:
+        p_domain = F.coalesce((F.get("nd", i) + STRENGTH * F.get(base, i)) / (F.col("mnd") + STRENGTH), F.get(base, i))
+        prior = F.coalesce((F.get("nh", i) + STRENGTH * p_domain) / (F.col("mnh") + STRENGTH), F.get(base, i))
+        suffix = (F.get("ns", i) + STRENGTH * (F.col("mns") + 1) / (sum(total) + 1)) / (F.get(all_, i) + STRENGTH)
+        return score + F.log(prior) + F.log(F.coalesce(suffix, F.lit(1.0))) + F.log(F.coalesce(F.get("markup", i), F.lit(1.0)))
+
+    rows = rows.withColumn("logs", F.transform("score", log_of)).withColumn("post", _share("logs"))
     names = F.array(*[F.lit(x) for x in model.languages])
-    best = lambda a: names[F.array_position(a, F.array_max(a)).cast("int") - 1]
+    best = lambda a: F.get(names, F.array_position(a, F.array_max(a)).cast("int") - 1)
     rows = rows.withColumns({
         "language": F.when(F.col("has_text"), best(F.col("post"))).otherwise(UND),
         "confidence": F.when(F.col("has_text"), F.array_max("post")).otherwise(1.0),
-        "accepted": F.col("has_text") & (F.col("post")[n - 1] < REJECT),
+        "accepted": F.col("has_text") & (F.get("post", F.lit(n - 1)) < REJECT),
         "text_language": F.when(F.col("has_text"), best(F.col("score"))).otherwise(UND),
     })
-    return rows.drop("score", "own", "nh", "nd", "ns", "post")
-
-
+    return rows.drop("score", "own", "nh", "nd", "ns", "mnh", "mnd", "mns", "markup", "logs", "post")
 
 
 def identify(documents: DataFrame, pages: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
