@@ -28,9 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that this process stored in the shared folder; returns how many paths there were.
+
+    For callers who have written their results: frames made before read the stored steps and fail afterwards.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_MADE)
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
