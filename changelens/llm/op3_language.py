@@ -11,7 +11,7 @@ Four kinds of evidence meet in one posterior per row, by Bayes' rule over the la
 
 All counts are grouped sums of the rows' text posteriors, a row's own share left out of its prior. Sums are formed per
 task first, so a hot host is one small row before it is exchanged; the table of hosts is joined back by
-host (Spark broadcasts it when small and splits a hot host otherwise).
+host: by broadcast up to BROADCAST_HOSTS hosts, else by an exchange in which Spark splits a hot host.
 
 Defined results: a text without letters (null and empty ones too) is `und` with confidence 1 and not accepted; a null or
 unknown declaration, suffix or host is no evidence; without labelled rows all is `und`; repeated rows each
@@ -35,6 +35,8 @@ TRAIN_ROWS = 4000
 MAX_LANGUAGES = 32
 FEATURES = 1 << 15
 PART_BYTES = 2 << 20
+#: Hosts up to which their table (three arrays of a number per class each) is broadcast.
+BROADCAST_HOSTS = 20_000
 #: Trigrams after which more text adds little; strength of the smoothing in rows; weight of a class in unseen data.
 TEMPER, STRENGTH, REJECT = 200.0, 5.0, 0.5
 UND = "und"
@@ -91,18 +93,16 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
 
         return run
 
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+    def packed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, feature, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "feature", "n"))
-            for x in np.unique(lang):
-                held.setdefault(int(x), np.zeros(FEATURES, np.int64))[feature[lang == x]] += n[lang == x]
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["lang", "counts"])
+            cells = b.column("lang").to_numpy(zero_copy_only=False).astype(np.int64) * FEATURES + b.column("feature").to_numpy(zero_copy_only=False)
+            n = b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()]), pa.array([n.tobytes()])], ["cells", "counts"])
 
     counts = np.zeros((len(names), FEATURES))
     found = map_rows(rows.select("text", "lang"), make, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    for r in found.repartition("lang").mapInArrow(dense, "lang int, counts binary").collect():  # one row for each language
-        counts[r.lang] += np.frombuffer(r.counts, np.int64)
+    for r in found.mapInArrow(packed_counts, "cells binary, counts binary").collect():  # MAX_LANGUAGES * FEATURES cells at most
+        counts.flat[np.frombuffer(r.cells, np.int64)] = np.frombuffer(r.counts, np.int64)
     loglik = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * FEATURES))
     loglik = np.concatenate([loglik, np.full((1, FEATURES), -np.log(FEATURES))]).astype(np.float32)
     loglik[:, _BLANK] = 0
@@ -178,6 +178,9 @@ def fuse(scored: DataFrame, model: Model) -> DataFrame:
 
     hosts = scored.filter("host IS NOT NULL").groupBy("host").agg(F.array(*sums).alias("nh"), F.min("domain").alias("domain"), F.min("suffix").alias("suffix"))
     hosts = hosts.join(grouped("domain", "nd"), "domain", "left").join(grouped("suffix", "ns"), "suffix", "left").select("host", "nh", "nd", "ns")
+    hosts = stored(hosts, "hosts")
+    if hosts.count() <= BROADCAST_HOSTS:
+        hosts = F.broadcast(hosts)  # else Spark joins by host and splits a hot one
     rows = scored.join(hosts, "host", "left").withColumn("markup", F.try_element_at(markup, F.col("declared")))
     for c in ("nh", "nd", "ns"):  # a row's own share is left out
         rows = rows.withColumn(c, F.transform(F.arrays_zip(F.col(c).alias("c"), F.col("own").alias("own")), lambda x: F.greatest(x["c"] - x["own"], F.lit(0.0))))

@@ -46,7 +46,9 @@ def test_evidence_counts(spark, tables):
     assert (got[905].language, got[905].accepted, got[905].confidence) == ("und", False, 1.0)
 
 
-def test_awkward(spark):
+@pytest.mark.parametrize("hosts", [0, 20_000])
+def test_awkward(spark, monkeypatch, hosts):
+    monkeypatch.setattr(op3, "BROADCAST_HOSTS", hosts)
     df = awkward(docs(spark))
     pages = spark.createDataFrame([(1, None, None), (1, "http://x.y.de/", ""), (None, "https://u:p@Host.Example.org:80/a", "<HTML class=a LANG='de-AT'>")], "page_id long, url string, html string")
     rows = op3.identify(df, pages).collect()
