@@ -44,14 +44,14 @@ def repeated_stretches(docs: DataFrame, run: int = RUN) -> DataFrame:
     lines = stored(docs.select(*key(), hashes().alias("h")).filter(F.size("h") >= run).dropDuplicates(["k1", "k2"]), "lines")
     prints = lines.select("k1", "k2", "h", F.explode(winnowed(F.col("h"), run)).alias("at"))
     prints = prints.select("k1", "k2", "at", F.element_at("h", F.col("at") + 1).alias("print"))
-    often = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
+    often = stored(prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "often")  # a table: the join can split a hot fingerprint
     seeds = prints.join(often, "print", "left_semi").groupBy("k1", "k2").agg(F.collect_list("at").alias("seeds"))
     around = F.array_distinct(F.flatten(F.transform("seeds", lambda p: F.sequence(F.greatest(p - (run - 1), F.lit(0)), F.least(p, F.size("h") - run)))))
     stretches = lines.join(seeds, ["k1", "k2"]).select("k1", "k2", "h", F.explode(around).alias("at"))
     own = F.slice("h", F.col("at") + 1, run)
     stretches = stored(stretches.select("k1", "k2", "at", F.xxhash64(own).alias("s1"), F.xxhash64(F.lit(run), own).alias("s2")), "stretches")
     place = F.struct("k1", "k2", "at")
-    first = stretches.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = stored(stretches.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
     later = stretches.join(first, ["s1", "s2"]).filter(place > F.col("first"))
     return later.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("at")).alias("starts"))
 
