@@ -27,7 +27,7 @@ from changelens.llm.common import key, packed, stored
 
 PERIOD = 1000
 BLOCK_CHARS = 65_536
-CELL_ROWS = 4096
+CELL_ROWS = 1024
 SEED = 17
 
 
