@@ -142,3 +142,10 @@ def test_written_order(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/m").select("doc_id", "_metadata.file_name", F.col("_metadata.row_index").alias("i")).orderBy("file_name", "i").collect()
     got = [at[x.doc_id] for x in rows]
     assert [s for s, _ in got] == sorted(s for s, _ in got)
+
+
+def test_places_do_not_depend_on_the_cells(spark, monkeypatch):
+    df = docs(spark, [prose(20, i) for i in range(150)])
+    want = sorted(map(tuple, op8.mixed(df, block_chars=300).collect()))
+    monkeypatch.setattr(op8, "CELL_ROWS", 4)
+    assert sorted(map(tuple, op8.mixed(df, block_chars=300).collect())) == want
