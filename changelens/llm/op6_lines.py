@@ -59,7 +59,7 @@ def repeated_stretches(docs: DataFrame, run: int = RUN) -> DataFrame:
 def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     """The documents with all their columns (in `row`), n_lines, removed (places of deleted lines among all lines, from 0) and clean_text."""
     k1, k2 = key()
-    rows = packed(docs, k1=k1, k2=k2, text=F.col("text")).join(repeated_stretches(docs, run), ["k1", "k2"], "left")
+    rows = packed(docs, k1=k1, k2=k2).join(repeated_stretches(docs, run), ["k1", "k2"], "left").withColumn("text", F.col("row.text"))
     lines = F.split("text", "\n")
     held = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "", i)), lambda i: i.isNotNull())
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
