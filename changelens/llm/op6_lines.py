@@ -10,7 +10,7 @@ compared with one other place, so a line that a third of all documents share mak
 are formed per task before they are exchanged.
 
 Defined results: a null text stays null and has no lines; empty texts and lines of white space are kept as they are, and
-runs of fewer than RUN lines are kept; rows equal in id and text are one document and get equal results; null ids come
+runs of fewer than RUN lines and fewer than LONG words are kept; rows equal in id and text are one document and get equal results; null ids come
 first; of a stretch that repeats within its document the first line stays; an empty table gives no rows; extra columns pass through.
 """
 
@@ -22,12 +22,30 @@ from pyspark.sql import functions as F
 from changelens.llm.common import key, packed, stored
 
 RUN = 3
+#: Words between white space that make a run of fewer lines.
+LONG = 50
 
 
-def hashes() -> Column:
-    """Hashes of the lines of `text` that hold a word."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
-    return F.transform(lines, lambda x: F.xxhash64(x))
+def held_lines() -> Column:
+    """The lines of `text` that hold a word."""
+    return F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
+
+
+def n_words(line: Column) -> Column:
+    return F.size(F.split(F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")), " +"))
+
+
+def long_stretches(lines: DataFrame, run: int, long: int) -> DataFrame:
+    """k1, k2, at, size, s1, s2 of the stretches of fewer than `run` lines that hold `long` words."""
+    out = None
+    for size in range(1, run):
+        words = lambda i: sum((F.get("w", i + k) for k in range(1, size)), F.get("w", i))  # noqa: B023, E731
+        at = F.when(F.size("h") >= size, F.filter(F.sequence(F.lit(0), F.size("h") - size), lambda i: words(i) >= long))
+        found = lines.select("k1", "k2", "h", F.explode(at).alias("at"))
+        own = F.slice("h", F.col("at") + 1, size)
+        found = found.select("k1", "k2", "at", F.lit(size).alias("size"), F.xxhash64(own).alias("s1"), F.xxhash64(F.lit(size), own).alias("s2"))
+        out = found if out is None else out.union(found)
+    return out
 
 
 def winnowed(h: Column, run: int) -> Column:
@@ -39,9 +57,13 @@ def winnowed(h: Column, run: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - run), least))
 
 
-def repeated_stretches(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(k1, k2, starts): per document the first lines of all stretches of `run` lines that occurred earlier."""
-    lines = stored(docs.select(*key(), hashes().alias("h")).filter(F.size("h") >= run).dropDuplicates(["k1", "k2"]), "lines")
+def repeated_stretches(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
+    """(k1, k2, starts): per document the first lines and sizes of all runs that occurred earlier."""
+    held = docs.select(*key(), held_lines().alias("x"))
+    held = held.select("k1", "k2", F.transform("x", lambda x: F.xxhash64(x)).alias("h"), F.transform("x", n_words).alias("w"))
+    enough = (F.size("h") >= run) | (F.aggregate("w", F.lit(0), lambda a, n: a + n) >= long)
+    every = stored(held.filter(enough).dropDuplicates(["k1", "k2"]), "lines")
+    lines = every.filter(F.size("h") >= run)
     prints = lines.select("k1", "k2", "h", F.explode(winnowed(F.col("h"), run)).alias("at"))
     prints = prints.select("k1", "k2", "at", F.element_at("h", F.col("at") + 1).alias("print"))
     often = stored(prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "often")  # a table: the join can split a hot fingerprint
@@ -49,20 +71,22 @@ def repeated_stretches(docs: DataFrame, run: int = RUN) -> DataFrame:
     around = F.array_distinct(F.flatten(F.transform("seeds", lambda p: F.sequence(F.greatest(p - (run - 1), F.lit(0)), F.least(p, F.size("h") - run)))))
     stretches = lines.join(seeds, ["k1", "k2"]).select("k1", "k2", "h", F.explode(around).alias("at"))
     own = F.slice("h", F.col("at") + 1, run)
-    stretches = stored(stretches.select("k1", "k2", "at", F.xxhash64(own).alias("s1"), F.xxhash64(F.lit(run), own).alias("s2")), "stretches")
+    stretches = stretches.select("k1", "k2", "at", F.lit(run).alias("size"), F.xxhash64(own).alias("s1"), F.xxhash64(F.lit(run), own).alias("s2"))
+    more = long_stretches(every, run, long)
+    stretches = stored(stretches if more is None else stretches.union(more), "stretches")
     place = F.struct("k1", "k2", "at")
     first = stored(stretches.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
     later = stretches.join(first, ["s1", "s2"]).filter(place > F.col("first"))
-    return later.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("at")).alias("starts"))
+    return later.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("starts"))
 
 
-def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
+def without_repeats(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
     """The documents with all their columns (in `row`), n_lines, removed (places of deleted lines among all lines, from 0) and clean_text."""
     k1, k2 = key()
-    rows = packed(docs, k1=k1, k2=k2).join(repeated_stretches(docs, run), ["k1", "k2"], "left").withColumn("text", F.col("row.text"))
+    rows = packed(docs, k1=k1, k2=k2).join(repeated_stretches(docs, run, long), ["k1", "k2"], "left").withColumn("text", F.col("row.text"))
     lines = F.split("text", "\n")
     held = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "", i)), lambda i: i.isNotNull())
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))))
     rows = rows.withColumn("held", F.when(F.col("starts").isNotNull(), held)).withColumn("gone", gone)
     rows = rows.withColumn("removed", F.coalesce(F.transform("gone", lambda g: F.element_at("held", g + 1)), F.expr("CAST(array() AS array<int>)")))
     left = F.filter(lines, lambda x, i: ~F.array_contains("removed", i))
