@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from changelens.llm import op6_lines, op7_licenses, op8_mix
+from changelens.llm import op6_lines, op7_licenses, op8_mix, op11_lexical, op12_lloyd
 from changelens.llm import op10_quality as q
 
 _SPACE = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
@@ -112,3 +112,43 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
        sum(length('<|im_start|>' || replace(replace({escaped("role")}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') || chr(10)
                   || {escaped("text")} || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id"""
+
+
+def search_sql(top: int = op11_lexical.TOP) -> str:
+    """Every term of every document is joined with every item's terms."""
+    term = r"[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '{term}')) AS term FROM documents),
+q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '{term}')) AS term FROM benchmark) GROUP BY 1, 2),
+lens AS (SELECT doc_id, count(*)::BIGINT AS n FROM d GROUP BY 1),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lens),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term, n_docs),
+m AS (SELECT doc_id, 25 + (75 * n * n_docs) // n_terms AS m FROM lens, total),
+gain AS (SELECT tf.doc_id, tf.term, w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m.m)) AS gain FROM tf JOIN w USING (term) JOIN m USING (doc_id)),
+s AS (SELECT item_id, doc_id, sum(times * gain)::BIGINT AS score FROM gain JOIN q USING (term) GROUP BY 1, 2),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= {top}"""
+
+
+def clusters_sql(k: int = op12_lloyd.K, rounds: int = op12_lloyd.ROUNDS, dims: int = op12_lloyd.DIMS, scale: int = op12_lloyd.SCALE, seed: int = op12_lloyd.SEED) -> str:
+    """Whole distances over one long table of components, a pair of queries for each round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (SELECT vec_id, c, sum((v.x - c{r}.x) * (v.x - c{r}.x))::BIGINT AS d FROM v JOIN c{r} ON v.j = c{r}.j GROUP BY 1, 2),
+a{r} AS (SELECT vec_id, min(d) AS distance, arg_min(c, d * {k} + c) AS c FROM d{r} GROUP BY 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT a.c, v.j, floor(sum(v.x) / count(*))::BIGINT AS x FROM a{r} a JOIN v ON v.vec_id = a.vec_id GROUP BY 1, 2),
+c{r + 1} AS (SELECT o.c, o.j, coalesce(m.x, o.x) AS x FROM c{r} o LEFT JOIN m{r} m ON m.c = o.c AND m.j = o.j)""")
+    last = rounds
+    return f"""
+WITH k AS (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = {dims} AND len([y for y in embedding if y IS NOT NULL AND isfinite(y)]) = {dims}),
+v AS (SELECT vec_id, unnest(range({dims})) AS j, floor({scale} * unnest(e)::DOUBLE)::BIGINT AS x FROM k),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR)) - 1 AS c FROM k ORDER BY c LIMIT {k}),
+c0 AS (SELECT f.c, v.j, v.x FROM f JOIN v USING (vec_id)),
+{", ".join(steps)},
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{last} GROUP BY c),
+i AS (SELECT c, sum(distance)::BIGINT AS cluster_inertia FROM a{last} GROUP BY c)
+SELECT a.vec_id, a.c::INTEGER AS cluster, a.distance, i.cluster_inertia, (SELECT sum(distance)::BIGINT FROM a{last}) AS inertia, h.centroid_sha256
+FROM a{last} a JOIN i ON i.c = a.c JOIN h ON h.c = a.c"""
