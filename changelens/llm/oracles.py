@@ -9,17 +9,21 @@ _SPACE = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
 _WORD = r"[^\x{20}\x{09}-\x{0D}]+"
 
 
-def lines_sql(run: int = op6_lines.RUN) -> str:
+def lines_sql(run: int = op6_lines.RUN, long: int = op6_lines.LONG) -> str:
     """All stretches of lines are compared, without fingerprints."""
-    leads = ", ".join(f"lead(line, {k}) OVER w AS l{k}" for k in range(1, run))
-    cols = ", ".join(["line", *(f"l{k}" for k in range(1, run))])
+    leads = ", ".join(f"lead(line, {k}) OVER w AS l{k}, lead(words, {k}) OVER w AS w{k}" for k in range(1, run))
+    later = []
+    for size in range(1, run + 1):
+        cols = ", ".join(["line", *(f"l{k}" for k in range(1, size))])
+        held = f"l{run - 1} IS NOT NULL" if size == run else " + ".join(["words", *(f"w{k}" for k in range(1, size))]) + f" >= {long}"
+        later.append(f"SELECT doc_id, seq, {size} AS size, row_number() OVER (PARTITION BY {cols} ORDER BY doc_id, seq) AS nth FROM r WHERE {held}")
     return f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l WHERE trim(line, {_SPACE}) <> ''),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq, len(regexp_extract_all(line, '{_WORD}')) AS words FROM l WHERE trim(line, {_SPACE}) <> ''),
 r AS (SELECT *, {leads} FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
-later AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY {cols} ORDER BY doc_id, seq) AS nth FROM r WHERE l{run - 1} IS NOT NULL),
-gone AS (SELECT DISTINCT s.doc_id, s.pos FROM later JOIN s ON s.doc_id = later.doc_id AND s.seq BETWEEN later.seq AND later.seq + {run - 1} WHERE nth > 1),
+later AS ({" UNION ALL ".join(later)}),
+gone AS (SELECT DISTINCT s.doc_id, s.pos FROM later JOIN s ON s.doc_id = later.doc_id AND s.seq BETWEEN later.seq AND later.seq + later.size - 1 WHERE nth > 1),
 clean AS (SELECT l.doc_id, count(gone.pos) AS n, string_agg(gone.pos::VARCHAR, ',' ORDER BY l.pos) AS removed, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL) AS left_text
           FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(len(ls), 0)::INTEGER AS n_lines, coalesce(n, 0)::INTEGER AS n_removed, coalesce(removed, '') AS removed,

@@ -33,21 +33,26 @@ def line_texts():
             i = r.randint(0, 3)
             ls[r.randint(0, len(ls)) :] = block[i : r.randint(i + 1, 7)]
         out.append("\n".join(ls))
+    long = [prose(60, 1), prose(26, 2) + "\t" + prose(10, 3) + "  x", " " + prose(30, 4) + "\r", prose(49, 5)]
+    for _ in range(20):
+        out.append("\n".join(r.choice([*long, *pool[:3]]) for _ in range(r.randint(1, 3))))
     return out + [None, "", "x\nx\nx\nx\nx\nx", out[3], out[3]]
 
 
 def plain_lines(rows):
-    """rows: (doc_id, text) in order; every stretch of RUN lines against all earlier ones."""
+    """rows: (doc_id, text) in order; every run (RUN lines, or fewer with LONG words) against all earlier ones."""
     seen, out = set(), []
     for d, t in rows:
         lines = (t or "").split("\n")
         held = [i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
+        words = [len([w for w in re.split("[ \t\r\x0b\x0c]+", lines[i]) if w]) for i in held]
         gone = set()
-        for s in range(len(held) - op6.RUN + 1):
-            k = tuple(lines[held[s + j]] for j in range(op6.RUN))
-            if k in seen:
-                gone |= {held[s + j] for j in range(op6.RUN)}
-            seen.add(k)
+        for size in range(1, op6.RUN + 1):
+            for s in range(len(held) - size + 1):
+                if size == op6.RUN or sum(words[s : s + size]) >= op6.LONG:
+                    k = tuple(lines[i] for i in held[s : s + size])
+                    gone |= set(held[s : s + size]) if k in seen else set()
+                    seen.add(k)
         out.append((d, t if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone)))
     return out
 

@@ -31,3 +31,9 @@ def test_whole_table_against_all_stretches(spark):
                 seen.add(stretch)
         want[r.doc_id] = sorted(gone)
     assert {r.doc_id: r.removed for r in op6.without_repeats(table).select("row.doc_id", "removed").collect()} == want
+
+
+def test_work_is_linear_in_lines(spark):
+    text = "\n".join(f"line {i} of a long text" for i in range(50_000))
+    got = op6.without_repeats(docs(spark, [text, text + "\nend"])).selectExpr("row.doc_id", "size(removed) AS n", "clean_text").collect()
+    assert {r.doc_id: (r.n, len(r.clean_text)) for r in got} == {0: (0, len(text)), 1: (50_000, 3)}
