@@ -54,7 +54,43 @@ def test_edited_copies_are_found(spark):
     assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
 
 
-def test_pivots_leave_nothing_out(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "PIVOTS", 0)
-    df = docs(spark, edited())
-    assert sorted(r.doc_id for r in near_copies.one_per_group(df).collect()) == plain_kept([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
+def planted(n_groups, n_copies, n_words=150):
+    """Texts, and pairs (i, j) with a similarity of 0.8 or more to the first of their group."""
+    r, texts, pairs = random.Random(8), [], []
+    for g in range(n_groups):
+        words = [f"w{r.randrange(10**6)}" for _ in range(n_words)]
+        first = len(texts)
+        texts.append(" ".join(words))
+        own = plain_set(texts[first])
+        for _ in range(n_copies):
+            copy = list(words)
+            for at in r.sample(range(n_words), r.randint(1, 3)):
+                copy[at] = f"edit{r.randrange(10**9)}"
+            texts.append(" ".join(copy))
+            other = plain_set(texts[-1])
+            if len(own & other) >= 0.8 * len(own | other):
+                pairs.append((first, len(texts) - 1))
+    return texts, pairs
+
+
+def roots_of(spark, texts):
+    df = docs(spark, texts)
+    found = near_copies.stored(near_copies.signatures(df), "signatures")
+    return {r.k1: r.root for r in found.join(near_copies.groups(df, found), "fp").select("k1", "root").collect()}
+
+
+def test_recall_on_thousands_of_planted_pairs(spark):
+    texts, pairs = planted(400, 8)
+    assert len(pairs) > 2000
+    root = roots_of(spark, texts)
+    assert sum(root[i] == root[j] for i, j in pairs) >= 0.999 * len(pairs)
+    assert len(set(root.values())) >= 400
+
+
+def test_one_large_group_of_near_copies_and_boilerplate(spark):
+    texts, pairs = planted(1, 600)
+    shared = prose(100, 5)  # unlike documents that share two thirds of their text: below the similarity
+    unlike = [f"{shared} {' '.join(f'u{i}x{k}' for k in range(50))}" for i in range(200)]
+    root = roots_of(spark, texts + unlike)
+    assert sum(root[i] == root[j] for i, j in pairs) >= 0.999 * len(pairs)
+    assert len({root[len(texts) + i] for i in range(200)}) == 200

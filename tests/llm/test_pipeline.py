@@ -5,7 +5,8 @@ import zlib
 import corpus_pipeline
 import numpy as np
 from helpers import awkward
-from test_simhash_and_tiling import plain_coverage, plain_fp
+from test_near_copies import plain_kept
+from test_simhash_and_tiling import plain_coverage
 
 from changelens.llm import op2_decontaminate as op2
 from changelens.llm import op3_language as op3
@@ -18,20 +19,14 @@ def test_run(spark, tokenizer):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     docs = {r.doc_id: r for r in op3.keep_known(table).collect()}
     assert len(docs) > 0.9 * table.count()
-    fps, kept = {d: plain_fp(r.text) for d, r in docs.items()}, []
-    group = {d: d for d in docs}
-    for _ in docs:  # smallest reachable id
-        new = {d: min(group[e] for e in docs if (fps[d] ^ fps[e]).bit_count() <= 4) for d in docs}
-        if new == group:
-            break
-        group = new
+    firsts, kept = plain_kept([(d, r.text) for d, r in docs.items()]), []
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     grams = lambda t: {tuple(w[i : i + 4]) for w in [op2.words((t or "").encode())] for i in range(len(w) - 3)}
-    for d in sorted(d for d in docs if group[d] == d):
+    for d in firsts:
         own = grams(docs[d].text)
         if not any(own & grams(t) and plain_coverage(t, docs[d].text) >= op2.COVERAGE * len(op2.words(t.encode())) for t in items):
             kept.append(d)
-    assert 0 < len(kept) < len(set(group.values())) < len(docs)
+    assert 0 < len(kept) < len(firsts) < len(docs)
     left = spark.createDataFrame([docs[d] for d in kept], table.schema)
     slots = {r.doc_id: (r.slot is None, r.slot, r.source, r.offset) for r in op8.mixed(left).collect()}
     want, at = [], 0
