@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changelens.plans.session import checkpoint_dir
+
 #: Rows with one text of a task at once: bounds what Python holds, whatever the texts' lengths.
 BATCH_BYTES = 16 << 20
 
@@ -20,12 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="changelens-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    """The folder named by spark.checkpoint.dir; a private one only in local mode (tests), elsewhere it has to be set."""
+    return checkpoint_dir(spark).rstrip("/")
 
 
 _MADE: list[str] = []
