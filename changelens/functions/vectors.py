@@ -66,6 +66,59 @@ def mmr(items, k: int, lam: float = 0.5) -> Column:
 CANDIDATE = "query_id string, label string, row_id bigint, sim double"
 
 
+BLOCK = "block string, label string, n int, centre array<double>, radius double, rows array<bigint>, mat binary"
+
+
+def balls(rows, label, vectors, chunk, block_rows, normalize):
+    """Divide the rows of a chunk by their nearest local pivots: one block of similar vectors per pivot.
+
+    Pivots are rows far from each other: each next one is the row that is furthest from those before.
+    """
+    order = np.argsort(rows, kind="stable")
+    rows, vectors = rows[order], vectors[order]
+    if normalize:
+        vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), EPS)
+    near, away = np.zeros(len(rows), dtype=int), np.full(len(rows), np.inf)
+    for i in range(-(-len(rows) // block_rows)):
+        pivot = vectors[0 if i == 0 else int(away.argmax())]
+        d = np.square(vectors - pivot).sum(axis=1)
+        near[d < away] = i
+        away = np.minimum(d, away)
+    out = []
+    for i in np.unique(near):
+        own, names = vectors[near == i], rows[near == i]
+        centre = own.mean(axis=0)
+        radius = float(np.sqrt(np.square(own - centre).sum(axis=1)).max())
+        out.append((f"{label}/{chunk}/{i}", label, len(names), centre.tolist(), radius, names.tolist(), np.ascontiguousarray(own).tobytes()))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in BLOCK.split(", ")])
+
+
+def bounds(queries, blocks, first, per_label):
+    """``(query_id, label, block, bound)`` of all blocks a query may see, or of the ``first`` best ones per query (and label)."""
+    columns = ["query_id", "label", "block", "bound"]
+    if queries.empty or blocks.empty:
+        return pd.DataFrame(columns=columns)
+    q = np.stack(queries["vec"]).astype(np.float64)
+    top = q @ np.stack(blocks["centre"]).astype(np.float64).T
+    top += np.linalg.norm(q, axis=1)[:, None] * blocks["radius"].to_numpy()[None, :]
+    labels = blocks["label"].to_numpy()
+    for i, targets in enumerate(queries["targets"]):
+        if targets is not None:
+            top[i, ~np.isin(labels, np.asarray(targets, dtype=object))] = -np.inf
+    ids, names = queries["query_id"].to_numpy(), blocks["block"].to_numpy()
+    if first is not None:
+        codes = pd.factorize(labels, use_na_sentinel=False)[0] if per_label else np.zeros(len(labels), dtype=int)
+        keep = np.zeros(top.shape, dtype=bool)
+        for code in range(codes.max() + 1):
+            cols = np.flatnonzero(codes == code)
+            at = np.argsort(-top[:, cols], axis=1, kind="stable")[:, :first]
+            keep[np.arange(len(top))[:, None], cols[at]] = True
+    else:
+        keep = np.ones(top.shape, dtype=bool)
+    i, j = np.nonzero(keep & np.isfinite(top))
+    return pd.DataFrame({"query_id": ids[i], "label": labels[j], "block": names[j], "bound": top[i, j]})
+
+
 def best_rows(query_ids, queries, rows, labels, vectors, k, per_label, normalize=True):
     """Exact top-k of one batch for every query (and label), ties by row id; never all pairs."""
     order = np.argsort(rows, kind="stable")
@@ -92,9 +145,3 @@ def _largest(part, k):
     above, equal = part > edge, part == edge
     room = k - above.sum(axis=1, keepdims=True)
     return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
-
-
-def keep_best(frames, k, per_label):
-    keys = ["query_id", "label"] if per_label else ["query_id"]
-    out = pd.concat(frames, ignore_index=True).sort_values(["sim", "row_id"], ascending=[False, True])
-    return out.groupby(keys, sort=False, dropna=False).head(k)

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from changelens import labels as L
 from changelens.functions import vectors as V
 from changelens.functions.rows import pos_rows
+from changelens.plans.session import stored
 
-BLOCK_ROWS = 32768
-BLOCK_QUERIES = 1024
+CHUNK_ROWS = 32768  # rows of a label that are divided into blocks together
+BLOCK_ROWS = 512  # rows that a block holds on average
+BLOCK_QUERIES = 1024  # queries and
+META_BLOCKS = 8192  # blocks whose bounds one task works out together
+FIRST = 2  # blocks that are scored for a floor
+ASKED_PARTS = 16  # parts of the queries that ask for one block
 
 
 def exemplar_index(table: DataFrame, row_id: str, label: str, embedding: str) -> DataFrame:
@@ -69,55 +74,107 @@ def fuse_queries(queries: DataFrame, channels: list[str], weights=L.FUSION_WEIGH
     return queries.withColumn("vec", F.concat(*parts))
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int, per_label: bool = False,
-          normalize: bool = True) -> DataFrame:
-    """Exact top-k rows per query, or per query and label.
+def index_blocks(index: DataFrame, normalize: bool = True) -> DataFrame:
+    """The index as a stored table of blocks: ``(block, label, n, centre, radius, rows, mat)``.
 
-    ``queries`` is ``(query_id, vec[, targets])``; ``targets`` limits the labels a
-    query may see (null: all). Returns ``(query_id, label, row_id, sim, rank)``.
+    Rows of a label are dealt into chunks of about ``CHUNK_ROWS`` by a hash; a chunk is divided by its
+    nearest local pivots into balls of similar vectors. ``radius`` bounds the distance of a row to the
+    centre. ``mat`` holds the vectors (unit length if ``normalize``) as doubles, row by row. Build it once
+    and hand it to ``top_k`` to search the same index again.
+    """
+    sizes = index.groupBy(F.col("label").alias("of")).agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("row_id"), F.col("chunks"))
+    dealt = index.join(sizes, F.col("label").eqNullSafe(F.col("of"))).select("row_id", "label", "embedding", chunk.alias("chunk"))
+
+    def balls(rows: pd.DataFrame) -> pd.DataFrame:
+        return V.balls(rows["row_id"].to_numpy(), rows["label"].iloc[0], np.stack(rows["embedding"]).astype(np.float64), int(rows["chunk"].iloc[0]), BLOCK_ROWS, normalize)
+
+    return stored(dealt.groupBy("label", "chunk").applyInPandas(balls, V.BLOCK))
 
-    Queries and index rows meet by scope, a label or the whole index, so a query
-    only meets rows it asks for. A scope is cut into blocks of about ``BLOCK_ROWS`` rows and
-    ``BLOCK_QUERIES`` queries, counted in the plan, so a label that holds most rows is
-    many blocks. Of each pair of blocks ``k`` rows per query leave the task, as ids
-    and scores; vectors are not among them.
+
+def block_bounds(queries: DataFrame, blocks: DataFrame, floors: DataFrame | None, first: int, per_label: bool) -> DataFrame:
+    """``(query_id, block, bound)``: what a block can score at best, by its centre and radius.
+
+    Without ``floors`` the ``first`` best blocks of each query (and label) are returned; with them, those that
+    can reach the query's floor. Only centres meet queries here: groups of queries with groups of blocks.
     """
-    q = queries if "targets" in queries.columns else queries.withColumn(
-        "targets", F.lit(None).cast("array<string>"))
-    asked = q.select(F.col("query_id").cast("string").alias("query_id"), "vec", F.explode(F.coalesce(
-        F.transform("targets", lambda t: F.struct(t.alias("of"))), F.array(_whole()))).alias("scope"))
-    wanted = asked.groupBy("scope").agg(F.count("*").alias("n_q"))
-    scopes = F.array(F.struct(F.col("label").alias("of")), _whole())
-    rows = index.select("row_id", "label", "embedding", F.explode(scopes if "targets" in queries.columns else F.array(_whole())).alias("scope"))
-    n_rows = rows.select("scope").groupBy("scope").agg(F.count("*").alias("n_x"))
-    cuts = wanted.join(n_rows, "scope").select(
-        "scope", F.ceil(F.col("n_q") / BLOCK_QUERIES).alias("n_q"), F.ceil(F.col("n_x") / BLOCK_ROWS).alias("n_x"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = asked.join(cuts, "scope").select("scope", "query_id", "vec", block("query_id", "n_q").alias("qb"), every("n_x").alias("xb"))
-    right = rows.join(cuts, "scope").select("scope", "row_id", "label", "embedding", block("row_id", "n_x").alias("xb"), every("n_q").alias("qb"))
-    columns = ["query_id", "label", "row_id", "sim"]
+    counts = queries.agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("n")), blocks.agg(F.ceil(F.count("*") / META_BLOCKS).alias("n"))
+    n_q, n_b = (F.greatest(c.scalar(), F.lit(1)).cast("int") for c in counts)
+    part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = queries.withColumn("n_q", n_q).withColumn("n_b", n_b).select("query_id", "vec", "targets", part("query_id", F.col("n_q")).alias("qb"), every(F.col("n_b")).alias("bb"))
+    right = blocks.select("block", "label", "centre", "radius").withColumn("n_q", n_q).withColumn("n_b", n_b).select(
+        "block", "label", "centre", "radius", part("block", F.col("n_b")).alias("bb"), every(F.col("n_q")).alias("qb"))
+    keys = ["qb", "bb"]
+    out = "query_id string, label string, block string, bound double"
+
+    only = first if floors is None else None
+
+    def bounds(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return V.bounds(left, right, only, per_label)
+
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(bounds, out)
+    by = ["query_id", "label"] if per_label else ["query_id"]
+    if floors is None:
+        w = Window.partitionBy(*by).orderBy(F.desc("bound"), F.asc("block"))
+        return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= first).select("query_id", "block", "bound")
+    named = floors.select(*[F.col(c).alias(f"_{c}") for c in by], "floor")
+    kept = found.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left")
+    return kept.where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 2 * 10.0 ** -V.DIGITS)).select("query_id", "block", "bound")
+
+
+def score_blocks(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, k: int, per_label: bool) -> DataFrame:
+    """The best ``k`` rows of every (query, block) pair, by groups of queries that ask for the same block."""
+    part = F.pmod(F.xxhash64("query_id"), F.lit(ASKED_PARTS))
+    asked = pairs.select("query_id", "block").join(queries.select("query_id", "vec"), "query_id").withColumn("part", part)
+    wanted = asked.select(F.col("block").alias("of"), F.col("part").alias("for_part")).distinct()
+    held = wanted.join(blocks.select(F.col("block").alias("of"), "label", "rows", "mat"), "of")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
-        ids, mat, held = left["query_id"].to_numpy(), np.stack(left["vec"]).astype(np.float64), []
-        for at in range(0, len(right), 4096):
-            part = right.iloc[at:at + 4096]
-            held.append(V.best_rows(ids, mat, part["row_id"].to_numpy(), part["label"].to_numpy(),
-                                    np.stack(part["embedding"]).astype(np.float64), k, per_label, normalize))
-        return V.keep_best(held, k, per_label)
-
-    keys = ["scope", "qb", "xb"]
-    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, V.CANDIDATE)
+            return pd.DataFrame(columns=["query_id", "label", "row_id", "sim"])
+        block = right.iloc[0]
+        rows = np.asarray(block["rows"], dtype=np.int64)
+        mat = np.frombuffer(block["mat"], dtype=np.float64).reshape(len(rows), -1)
+        return V.best_rows(left["query_id"].to_numpy(), np.stack(left["vec"]).astype(np.float64), rows, np.full(len(rows), block["label"], dtype=object), mat, k, per_label, False)
+
+    return asked.groupBy("block", "part").cogroup(held.groupBy("of", "for_part")).applyInPandas(score, V.CANDIDATE)
+
+
+def search(queries: DataFrame, blocks: DataFrame, k: int, per_label: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Exact top-k over an index of blocks, and the (query, block) pairs that were scored.
+
+    Best blocks first: ``FIRST`` blocks per query (and label) give a floor, the ``k``-th score so far. Then
+    only blocks whose bound reaches the floor are scored; no row of another can be among the ``k``.
+    Queries are stored; floors, bounds and candidates hold ids and scores.
+    """
+    q = queries if "targets" in queries.columns else queries.withColumn("targets", F.lit(None).cast("array<string>"))
+    q = stored(q.select(F.col("query_id").cast("string").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"), "targets"))
     by = ["query_id", "label"] if per_label else ["query_id"]
     w = Window.partitionBy(*by).orderBy(F.desc("sim"), F.asc("row_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    first = stored(block_bounds(q, blocks, None, FIRST, per_label))
+    found = stored(ranked(score_blocks(first, q, blocks, k, per_label)))
+    floors = found.where(F.col("rank") == k).select(*by, F.col("sim").alias("floor"))
+    open_ = block_bounds(q, blocks, floors, FIRST, per_label)
+    more = stored(open_.join(first, ["query_id", "block"], "left_anti"))
+    rest = score_blocks(more, q, blocks, k, per_label)
+    return ranked(found.drop("rank").union(rest)), first.select("query_id", "block").union(more.select("query_id", "block"))
 
 
-def _whole() -> Column:
-    """The scope of all labels."""
-    return F.struct(F.lit(None).cast("string").alias("of"))
+def top_k(queries: DataFrame, index: DataFrame, k: int, per_label: bool = False,
+          normalize: bool = True) -> DataFrame:
+    """Exact top-k rows per query, or per query and label.
+
+    ``queries`` is ``(query_id, vec[, targets])``; ``targets`` limits the labels a
+    query may see (null: all). ``index`` is an exemplar index, or the table of ``index_blocks`` made of one.
+    Returns ``(query_id, label, row_id, sim, rank)``.
+    """
+    blocks = index if "mat" in index.columns else index_blocks(index, normalize)
+    return search(queries, blocks, k, per_label)[0].select("query_id", "label", "row_id", "sim", "rank")
 
 
 def with_vectors(ranked: DataFrame, index: DataFrame, normalize: bool = True) -> DataFrame:

@@ -47,14 +47,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only in local mode, where none is needed."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names; a private one, kept for the context, only in local mode."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "changelens_folder", None)
     if named is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="changelens-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    spark.sparkContext.setCheckpointDir(named)
+        named = context.changelens_folder = "file://" + tempfile.mkdtemp(prefix="changelens-")
+    context.setCheckpointDir(named)
     return named
 
 
