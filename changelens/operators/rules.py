@@ -14,6 +14,7 @@ from changelens import labels as L
 from changelens.config import EngineConfig, cap_steps
 from changelens.functions.rows import let, rows
 from changelens.functions.text import _c
+from changelens.plans.session import stored
 
 
 def label_sets(labelled: DataFrame, key: str = "case_id", label: str = "label") -> DataFrame:
@@ -47,6 +48,36 @@ def frequent_sets(sets: DataFrame, min_count: int) -> DataFrame:
     return cut.groupBy(F.col("_l").alias("labels")).agg(F.sum("n").alias("n"))
 
 
+def frequent_itemsets(sets: DataFrame, min_count: int, size: int = 3) -> dict[int, DataFrame]:
+    """``(items, n)`` of the label sets of 1 to ``size`` labels, level by level; those of the last level reach ``min_count`` or are left out.
+
+    A row is a label set, a prefix found in it and the labels that may follow. A level hands each row to its
+    next labels, one row each, so a set of many labels is never one long value of subsets. From level 3 on
+    only labels follow that make a candidate: the prefix and the label join two frequent prefixes,
+    and all other subsets are frequent too.
+    """
+    base = frequent_sets(sets, min_count)
+    step = base.select("n", F.lit(None).cast("array<string>").alias("items"), F.col("labels").alias("tail"))
+    out: dict[int, DataFrame] = {}
+    for k in range(1, size + 1):
+        if k > 2 and min_count > 1:
+            often = stored(out[k - 1].where(F.col("n") >= min_count).select("items"))
+            out[k - 1] = out[k - 1].where(F.col("n") >= min_count)
+            last = F.element_at("items", -1)
+            ends = often.select(F.slice("items", 1, k - 2).alias("_p"), last.alias("_e"))
+            joined = often.withColumn("_p", F.slice("items", 1, k - 2)).join(ends, "_p").where(F.col("_e") > last).drop("_p")
+            for drop in range(k - 2):
+                other = F.concat(F.slice("items", 1, drop), F.slice("items", drop + 2, k), F.array("_e"))
+                joined = joined.withColumn("_s", other).join(often.select(F.col("items").alias("_s")), "_s", "left_semi").drop("_s")
+            follow = joined.groupBy("items").agg(F.collect_set("_e").alias("_f"))  # of the label dictionary
+            step = step.join(follow, "items").select("n", "items", F.array_intersect("tail", "_f").alias("tail"))
+        deal = step.select("n", "items", "tail", F.posexplode_outer("tail").alias("_i", "_x")).where(F.col("_x").isNotNull())
+        items = F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array("_x"))
+        step = deal.select("n", items.alias("items"), F.slice("tail", F.col("_i") + 2, F.size("tail") + 1).alias("tail"))
+        out[k] = step.groupBy("items").agg(F.sum("n").alias("n"))
+    return out
+
+
 def pair_stats(sets: DataFrame) -> DataFrame:
     """Support, confidence, lift and NPMI of every label pair in both directions."""
     total = sets.agg(F.sum("n").alias("n_cases"))
@@ -76,11 +107,10 @@ def association_rules(sets: DataFrame, min_count: int = 1) -> DataFrame:
     """Rules with one or two labels on the left: ``(antecedent, consequent, confidence, lift, score)``.
 
     ``antecedent`` is the sorted labels joined by ``|``; ``score`` is lift times confidence.
-    Labels below ``min_count`` are left out before pairs and triples are formed.
+    Itemsets are counted level by level, and only candidates whose parts reach ``min_count`` are formed.
     """
     total = sets.agg(F.sum("n").alias("n_cases"))
-    sets = frequent_sets(sets, min_count)
-    counts = {k: itemset_counts(sets, k) for k in (1, 2, 3)}
+    counts = frequent_itemsets(sets, min_count)
     single = counts[1].select(F.col("items")[0].alias("consequent"), F.col("n").alias("n_c"))
     out = None
     for k in (1, 2):

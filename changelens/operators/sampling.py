@@ -7,11 +7,11 @@ no task ever sorts everything.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changelens.plans.session import stored
+
 BUCKET_ROWS = 4096  # rows that one bucket of a rank holds on average, at most
 
 
@@ -52,9 +52,10 @@ def sample_per_type(df: DataFrame, n: int, key: str = "case_id", type_col: str =
     ``df`` is ``(key, type)``. The rank filter becomes a per-task limit before
     the exchange, so a dominant type sends ``n`` rows per task.
     """
+    # repeated rows stand together in the order, so a dense rank counts each case once without an exchange before it
     w = Window.partitionBy(type_col).orderBy("_h", key)
-    hashed = df.select(key, type_col).distinct().withColumn("_h", seeded_hash(seed, type_col, key))
-    picked = hashed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select(key).distinct()
+    hashed = df.select(key, type_col).withColumn("_h", seeded_hash(seed, type_col, key))
+    picked = hashed.withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= n).select(key).distinct()
     return global_rank(picked.withColumn("_h", seeded_hash(seed, key)), "_h", "pos").drop("_h")
 
 
@@ -82,37 +83,50 @@ def schedule_heads(df: DataFrame, n_per_type: int, done: DataFrame | None = None
     return heads.select(type_col, key, "pos", quota.alias("quota"))
 
 
+def serial_choice(agents: DataFrame, lists: DataFrame, order: list[str], owner: str, key: str) -> DataFrame:
+    """What agents choose who pick one after the other: each the first key of its owner's list that is still free.
+
+    ``agents`` is ``(*order, pos)`` with ``owner`` among the ``order`` columns, which say who picks first; ``pos`` is the first place
+    it looks at. ``lists`` is ``(owner, pos, key)``. Nobody waits: all agents ask at once, a key keeps the
+    earliest of those who ask, and the others ask for the next key that no earlier agent holds. A key only ever passes to
+    an earlier agent, so an agent that is refused never has to come back, and the end is the sequential choice.
+    Every round is a stored table; the driver sees how many agents are left. Returns ``(*order, pos, key)``.
+    """
+    lists = stored(lists.select(owner, "pos", key))
+    who = F.struct(*order)
+    held = None
+    asking = agents.join(lists, [owner, "pos"]).select(*order, "pos", key)
+    while True:
+        every = asking if held is None else held.union(asking)
+        every = stored(every)
+        held = stored(every.groupBy(key).agg(F.min_by(F.struct(*order, "pos"), who).alias("_h")).select("_h.*", key))
+        refused = every.join(held, order, "left_anti")
+        holders = held.select(F.col(key), who.alias("_holder"))
+        more = refused.drop(key).withColumnRenamed("pos", "_pos").join(lists, owner).where("pos > _pos")
+        free = more.join(holders, key, "left").where(F.col("_holder").isNull() | (F.col("_holder") > who))
+        asking = stored(free.groupBy(*order).agg(F.min(F.struct("pos", key)).alias("_n")).select(*order, "_n.*"))
+        if asking.isEmpty():
+            return held
+
+
 def round_robin(df: DataFrame, n_per_type: int, done: DataFrame | None = None,
                 existing: DataFrame | None = None, seed: int = 42,
                 key: str = "case_id", type_col: str = "type") -> DataFrame:
     """One new case per type and round until quotas or lists run out.
 
-    The choice across types is sequential, so it runs on the bounded heads only
-    (keys, no payload). Returns ``(round_robin_index, type, key)`` to join back.
+    A pick is an agent (round, type), and agents choose one after the other from their type's list; the
+    r-th agent of a type starts at place r, as those before it take one case each. Works on the
+    bounded heads of the lists (keys, no payload). Returns ``(round_robin_index, type, key)`` to join back.
     """
-    heads = schedule_heads(df, n_per_type, done, existing, seed, key, type_col)
-    lists, quota = defaultdict(list), {}
-    for row in heads.orderBy(type_col, "pos").toLocalIterator():
-        lists[row[type_col]].append(row[key])
-        quota[row[type_col]] = row["quota"]
-    taken, order = set(), []
-    queues = {t: iter(keys) for t, keys in sorted(lists.items())}
-    left = dict(quota)
-    progress = True
-    while progress:
-        progress = False
-        for t, queue in queues.items():
-            if left[t] <= 0:
-                continue
-            pick = next((k for k in queue if k not in taken), None)
-            if pick is not None:
-                taken.add(pick)
-                order.append((len(order), t, pick))
-                left[t] -= 1
-                progress = True
-    schema = df.select(type_col, key).schema
-    fields = f"round_robin_index bigint, {type_col} {schema[type_col].dataType.simpleString()}, {key} {schema[key].dataType.simpleString()}"
-    return df.sparkSession.createDataFrame(order, fields)
+    heads = stored(schedule_heads(df, n_per_type, done, existing, seed, key, type_col))
+    agents = heads.where(F.col("pos") <= F.col("quota")).select(F.col("pos").alias("_round"), type_col, "pos")
+    picked = serial_choice(agents, heads.where("quota > 0"), ["_round", type_col], type_col, key)
+    sizes = picked.groupBy("_round").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_round").rowsBetween(Window.unboundedPreceding, -1)  # a row for each round
+    offsets = sizes.select("_round", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inner = F.row_number().over(Window.partitionBy("_round").orderBy(type_col))
+    ranked = picked.withColumn("_i", inner).join(offsets, "_round")
+    return ranked.select((F.col("_o") + F.col("_i") - 1).cast("bigint").alias("round_robin_index"), type_col, key)
 
 
 def interleave(df: DataFrame, n_per_type: int, seed: int = 42, key: str = "case_id", type_col: str = "type") -> DataFrame:
