@@ -12,10 +12,10 @@ from changelens.sources.paths import exists
 
 
 def read_log(spark: SparkSession, path: str, schema: str = schemas.RESULT_LOG) -> DataFrame:
-    """JSON lines; blank and broken lines are left out, a missing log is empty."""
+    """JSON lines, those in the folders of batches too; blank and broken lines are left out, a missing log is empty."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
 
 
 def finished_cases(log: DataFrame) -> DataFrame:
@@ -57,6 +57,11 @@ def append_log(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+def write_batch(records: DataFrame, path: str) -> None:
+    """The rows of one batch of a stream in a folder of its own; a repeated batch replaces it."""
+    records.write.mode("overwrite").json(path)
+
+
 def write_failures(failures: DataFrame, path: str) -> None:
     failures.write.mode("append").json(path)
 

@@ -2,8 +2,10 @@ import json
 import pickle
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from changelens import schemas
 from changelens.operators import retrieval
 from changelens.sources import cases, dimensions, exemplars, external, logs
 from changelens.streaming import runner
@@ -127,6 +129,35 @@ def test_restart_runs_each_case_once(spark, tmp_path):
     assert rows == [("u1", 1, 0, 0, ("UnknownType: z",)), ("u2", 1, 0, 0, ("UnknownType: z",)), ("u3", 0, 0, 1, ()), ("u4", 1, 0, 0, ("UnknownType: z",))]
 
 
+def test_a_batch_that_fails_after_writing_is_replayed_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    put = lambda name, *urls: (tmp_path / "in" / name).write_text("\n".join(json.dumps({"refactoring_types": ["Move Class"], "commit_diff": "-x", "url": u}) for u in urls))
+    log = str(tmp_path / "log")
+    logs.append_log(logs.case_record(runner.evaluate(cases.normalize(spark.read.schema(schemas.RAW_CASE).json(spark.sparkContext.parallelize(['{"url": "old", "commit_diff": "-x", "refactoring_types": ["Move Class"]}']))), predict)), log)
+    asked = []
+
+    def go():
+        return runner.run_incremental(spark, str(tmp_path / "in"), log, str(tmp_path / "cp"), lambda c: (asked.append(1), runner.evaluate(c, predict))[1])
+
+    put("1.json", "u1", "old")
+    assert go() == 1
+    put("2.json", "u1", "u2")
+    real = logs.write_batch
+
+    def broken(rows, path):
+        real(rows, path)
+        raise OSError("lost after writing")
+
+    monkeypatch.setattr(logs, "write_batch", broken)
+    with pytest.raises(Exception, match="lost after writing"):
+        go()
+    monkeypatch.setattr(logs, "write_batch", real)
+    put("3.json", "u2", "u3")
+    assert go() == 2
+    assert len(asked) == 3  # the batch that was written whole is not processed again
+    assert sorted(r["case_id"] for r in logs.read_log(spark, log).collect()) == ["old", "u1", "u2", "u3"]
+
+
 def test_report_sinks(spark, tmp_path):
     scores = spark.createDataFrame([("T1", 2, 1, 1, 0, 0.5, 1.0, 0.667)], "track string, n int, tp int, fp int, fn int, p double, r double, f1 double")
     changes = scores.select("track", *[F.lit(0.0).alias(c) for c in ("d_p", "d_r", "d_f1")])
