@@ -60,27 +60,27 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f
 FROM w LEFT JOIN nb USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
-def mix_sql(period: int = op8_mix.PERIOD, block_chars: int = op8_mix.BLOCK_CHARS, seed: int = op8_mix.SEED) -> str:
-    """One window per source and a recursive walk over the slots."""
+def mix_sql(block_chars: int = op8_mix.BLOCK_CHARS, slots: int = op8_mix.SLOTS, seed: int = op8_mix.SEED) -> str:
+    """One window per source and a recursive walk over the blocks."""
+    total = "(SELECT sum(w)::BIGINT FROM parts)"
     return f"""
 WITH RECURSIVE r AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS src, length(coalesce(text, '')) AS n,
                             md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS digest FROM documents),
+z AS (SELECT greatest({block_chars}, (sum(n)::BIGINT + {slots - 1}) // {slots})::BIGINT AS size FROM r),
 o AS (SELECT *, (sum(n) OVER (PARTITION BY src ORDER BY digest ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS "offset" FROM r),
-g AS (SELECT src, sqrt(sum(n)::DOUBLE) AS weight FROM r GROUP BY src),
-p AS (SELECT src, weight / sum(weight) OVER () * ({period} - count(*) OVER ()) AS exact, count(*) OVER () AS k FROM g WHERE weight > 0),
-p2 AS (SELECT *, floor(exact) AS whole, row_number() OVER (ORDER BY exact - floor(exact) DESC, src) AS rank, {period} - k - sum(floor(exact)) OVER () AS rest FROM p),
-parts AS (SELECT src, (1 + whole + CASE WHEN rank <= rest THEN 1 ELSE 0 END)::BIGINT AS a, row_number() OVER (ORDER BY src) AS i FROM p2),
-s AS (SELECT list(a ORDER BY i) AS a FROM parts),
-f(t, done, pick) AS (
-  SELECT -1::BIGINT, [0::BIGINT for x in a], -1::BIGINT FROM s
+g AS (SELECT src, sqrt(sum(n)::DOUBLE) AS weight, sum(n)::BIGINT // (SELECT size FROM z) + 1 AS n FROM r GROUP BY src),
+parts AS (SELECT src, n, greatest(round(weight / sum(weight) OVER () * {op8_mix.PARTS})::BIGINT, 1) AS w, row_number() OVER (ORDER BY src) AS i FROM g WHERE weight > 0),
+s AS (SELECT list(w ORDER BY i) AS w, list(n ORDER BY i) AS n, {total} AS total, sum(n)::BIGINT AS steps FROM parts),
+f(k, t, done, pick) AS (
+  SELECT 0::BIGINT, -1::BIGINT, [0::BIGINT for x in w], 0::BIGINT FROM s WHERE len(w) > 0
   UNION ALL
-  SELECT t + 1, [CASE WHEN i = pick THEN done[i] + 1 ELSE done[i] END for i in range(1, len(done) + 1)], pick
-  FROM (SELECT t, done, list_min([((done[i] + 1) * {period} + a[i] - 1) // a[i] * 100000 + i for i in range(1, len(a) + 1) if done[i] * {period} // a[i] <= t + 1]) % 100000 AS pick
-        FROM f, s WHERE t < {period - 1} AND len(a) > 0)),
-plan AS (SELECT i, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM f JOIN parts ON i = pick),
-b AS (SELECT o.*, a, i, "offset" // {block_chars} AS block FROM o LEFT JOIN parts USING (src))
-SELECT doc_id, source, "offset", block, block * {period} // a AS release, ((block + 1) * {period} + a - 1) // a AS deadline, (block // a * {period} + plan.slot)::BIGINT AS slot
-FROM b LEFT JOIN plan ON plan.i = b.i AND plan.turn = block % a"""
+  SELECT k + 1, now, [CASE WHEN i = p THEN done[i] + 1 ELSE done[i] END for i in range(1, len(done) + 1)], p FROM (
+    SELECT *, list_min([((done[i] + 1) * total + w[i] - 1) // w[i] * 100000 + i for i in range(1, len(w) + 1) if done[i] < n[i] AND done[i] * total // w[i] <= now]) % 100000 AS p FROM (
+      SELECT f.k, f.done, s.*, greatest(f.t + 1, list_min([f.done[i] * total // w[i] for i in range(1, len(w) + 1) if f.done[i] < n[i]])) AS now FROM f, s WHERE f.k < steps))),
+plan AS (SELECT i, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY k) - 1 AS block FROM f JOIN parts ON i = pick),
+b AS (SELECT o.*, w, i, "offset" // (SELECT size FROM z) AS block FROM o LEFT JOIN parts USING (src))
+SELECT doc_id, source, "offset", b.block, b.block * {total} // w AS release, ((b.block + 1) * {total} + w - 1) // w AS deadline, plan.slot
+FROM b LEFT JOIN plan ON plan.i = b.i AND plan.block = b.block"""
 
 
 def quality_sql() -> str:

@@ -102,17 +102,22 @@ def test_licenses(spark):
     assert op7.scan(docs(spark).limit(0)).count() == 0
 
 
-def test_schedule_is_pfair(spark):
-    for weights, period in (({"a": 5.0, "b": 1.0, "c": 0.01}, 100), ({f"s{i}": float(1 + i % 7) for i in range(30)}, 97), ({"x": 1.0}, 10)):
-        targets = spark.createDataFrame(list(weights.items()), "src string, weight double")
-        parts = {r.src: r.a for r in op8.shares(targets, period).collect()}
-        assert sum(parts.values()) == period and all(a >= 1 for a in parts.values())
-        plan = sorted((r.slot, r.src) for r in op8.schedule(op8.shares(targets, period), period).collect())
-        assert [s for s, _ in plan] == list(range(period))
-        done = Counter()
-        for t, src in plan:
-            done[src] += 1
-            assert all(abs(done[s] - parts[s] * (t + 1) / period) < 1 for s in parts)
+@pytest.mark.parametrize("weights", [{"a": 5.0, "b": 1.0, "c": 0.01}, {f"s{i}": float(1 + i % 7) for i in range(30)}, {"x": 1.0},
+                                     {**{f"s{i}": 1.0 for i in range(499)}, "big": 16.0}, {f"s{i}": 1.0 + (i == 7) * 300 for i in range(2000)}])
+def test_schedule_is_pfair(spark, weights):
+    n = 8 if len(weights) < 400 else 2
+    total = sum(weights.values())
+    parts = op8.shares(spark.createDataFrame(list(weights.items()), "src string, weight double"))
+    sizes = {s: int(n * max(1, w / min(weights.values()) / 30)) for s, w in weights.items()}
+    plan = sorted((r.slot, r.src, r.release, r.deadline, r.block) for r in op8.schedule(parts.join(spark.createDataFrame(list(sizes.items()), "src string, n long"), "src")).collect())
+    assert len({t for t, *_ in plan}) == len(plan) == sum(sizes.values())
+    assert all(release <= t < due for t, _, release, due, _ in plan)
+    ends = {s: (k - 1) * total / weights[s] for s, k in sizes.items()}  # until then a source has blocks left
+    at = {s: [t for t, x, *_ in plan if x == s] for s in list(weights)[:5] + list(weights)[-5:]}
+    for s, slots in at.items():  # against the target weight, in every slot
+        for i, t in enumerate(slots):
+            if t < ends[s]:
+                assert abs(i + 1 - weights[s] / total * (t + 1)) < 1 and abs(i - weights[s] / total * t) < 1
 
 
 def test_mix(spark):
@@ -120,7 +125,7 @@ def test_mix(spark):
     texts = [prose(r.randint(0, 60), i) for i in range(400)] + [None, ""]
     df = docs(spark, texts).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 11 == 0, "none").otherwise(F.col("source")))
     targets = spark.createDataFrame([("hot", 0.5), ("s1", 0.3), (None, 0.2), ("none", 0.0), ("absent", 0.1)], "source string, weight double")
-    got = op8.mixed(df, targets, period=50, block_chars=500).collect()
+    got = op8.mixed(df, targets, block_chars=500).collect()
     assert sorted(x.doc_id for x in got) == list(range(len(texts)))
     for x in got:
         assert (x.slot is None) == (x.source in ("none", "s2", "s0"))
@@ -130,14 +135,12 @@ def test_mix(spark):
     for x in got:
         if x.slot is not None:
             assert taken.setdefault(x.slot, (x.source, x.block)) == (x.source, x.block)
-    for n in (50, 200):
+    for n in (50, 500):
         rows = awkward(df)
-        out = op8.in_mix_order(rows, targets, period=n, block_chars=500)
+        out = op8.in_mix_order(rows, targets, block_chars=n)
         assert out.columns == rows.columns and out.count() == rows.count()
     assert op8.mixed(df.limit(0)).count() == 0
     assert op8.in_mix_order(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        op8.mixed(df, targets, period=3).count()
 
 
 def test_written_order(spark, tmp_path):
