@@ -4,9 +4,11 @@ Test items are the stated query set: they are broadcast in blocks of about BLOCK
 unless the benchmark is larger), and documents are read once for each block, without any exchange.
 
 In a task, a document's words become numbers, and a rolling Karp-Rabin hash of every SEED words is joined
-with the seeds of the block's items. Seeds that follow one another on a diagonal form maximal matches;
-the longest that is still free is marked as a tile in item and document, what it leaves of the others is
-put back, until no free match of SEED words remains. Coverage is the tiled share of the item's words. Tiles may
+with the seeds of the block's items. The longest match that is still free is marked as a tile in item and document, again and
+again, until no free match of SEED words remains. Where seeds are few, those that follow one another on a diagonal form the
+matches, and what a tile leaves of the others is put back; where words repeat and pairs of seeds would be many, the
+longest free match is found by Karp-Rabin hashes of longer windows, in memory linear in text and item. Both
+give the same tiles. Coverage is the tiled share of the item's words. Tiles may
 stand in any order, so a passage whose sentences were moved about is still covered. An item whose
 shared seeds cannot reach the threshold is passed over, which loses none.
 
@@ -32,6 +34,8 @@ from changelens.llm.common import BATCH_BYTES, map_rows, packed, spark_arrow
 SEED = 4
 COVERAGE = 0.5
 BLOCK_WORDS = 2_000_000
+#: Pairs of equal seeds held for each word of text and item.
+PAIRS = 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
@@ -52,7 +56,7 @@ def rolling(ids: np.ndarray, width: int = SEED) -> np.ndarray:
     for k in range(width):
         out = out * _BASE + value[k : n + k]
         known &= ids[k : n + k] >= 0
-    return np.where(known, out | np.uint64(1), np.uint64(0))
+    return np.where(known, np.maximum(out, np.uint64(1)), np.uint64(0))
 
 
 class Block:
@@ -72,14 +76,26 @@ class Block:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.seeds & np.uint64((1 << 20) - 1)] = True
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in item, place in document) of all shared seeds."""
-        h = rolling(ids)
-        at = np.flatnonzero(self.maybe[h & np.uint64((1 << 20) - 1)] & (h != 0))
-        low, high = np.searchsorted(self.seeds, h[at], "left"), np.searchsorted(self.seeds, h[at], "right")
+    def seeded(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of the items' seeds that are among the hashes `h` of a document."""
+        found = np.unique(h[self.maybe[h & np.uint64((1 << 20) - 1)] & (h != 0)])
+        low, high = np.searchsorted(self.seeds, found, "left"), np.searchsorted(self.seeds, found, "right")
         n = high - low
         take = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.item[take], self.place[take], np.repeat(at, n)
+        return self.item[take], self.place[take]
+
+
+def seed_pairs(own: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(place in item, place in document) of equal seeds, or None if there are more than PAIRS for each word of both."""
+    mine = rolling(own)
+    order = np.argsort(h, kind="stable")
+    ranked = h[order]
+    low, high = np.searchsorted(ranked, mine, "left"), np.searchsorted(ranked, mine, "right")
+    n = np.where(mine != 0, high - low, 0)
+    if n.sum() > PAIRS * (len(own) + len(h) + SEED):
+        return None
+    take = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.repeat(np.arange(len(mine)), n), order[take]
 
 
 def matches(item: np.ndarray, doc: np.ndarray, place: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
@@ -90,8 +106,8 @@ def matches(item: np.ndarray, doc: np.ndarray, place: np.ndarray, at: np.ndarray
     out = []
     for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(place)], strict=True):
         p, d, n = int(place[i]), int(at[i]), j - i + SEED - 1
-        if np.array_equal(item[p : p + n], doc[d : d + n]):
-            out.append((n, p, d))
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], item[p : p + n] == doc[d : d + n], [False]]).astype(np.int8)))
+        out += [(b - a, p + a, d + a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= SEED]
     return out
 
 
@@ -114,15 +130,83 @@ def tiles(found: list[tuple[int, int, int]], n_item: int, n_doc: int) -> list[tu
     return out
 
 
+def free_windows(ids: np.ndarray, taken: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the windows of `width` words without a taken or unknown one, from prefix hashes."""
+    n = len(ids) - width + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    blocked = np.concatenate([[0], np.cumsum(taken | (ids < 0))])
+    at = np.flatnonzero(blocked[width:] == blocked[:n])
+    # windows by halves: the hash of 2k words comes from those of k
+    h, size = ids.astype(np.uint64) + np.uint64(2), 1
+    base = _BASE
+    with np.errstate(over="ignore"):
+        parts, offset, rest = np.zeros(n, np.uint64), 0, width
+        while rest:
+            if rest & 1:
+                parts = parts * base + h[offset : offset + n]
+                offset += size
+            rest >>= 1
+            if rest:
+                h = h[:-size] * base + h[size:]
+                h ^= h >> np.uint64(29)
+                base, size = base * base, size * 2
+    return parts[at], at
+
+
+def long_tiles(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
+    """The same tiles as of all matches, by hashes of whole windows: no pairs of seeds are held.
+
+    The longest width with an equal free window is found by bisection (a free match holds shorter ones); all tiles
+    of that width are marked from the item's first place on, each at the document's first place, then the width shrinks.
+    """
+    mine, theirs, out = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
+
+    def both(width: int) -> bool:
+        return len(np.intersect1d(free_windows(item, mine, width)[0], free_windows(doc, theirs, width)[0])) > 0
+
+    most = min(len(item), len(doc))
+    while most >= SEED:
+        low, high = SEED - 1, most
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if both(mid) else (low, mid - 1)
+        if low < SEED:
+            break
+        h, at = free_windows(doc, theirs, low)
+        order = np.argsort(h, kind="stable")
+        ranked, places = h[order], at[order]
+        next_of: dict[int, int] = {}
+        for x, p in zip(*(a.tolist() for a in free_windows(item, mine, low)), strict=True):
+            if mine[p : p + low].any():
+                continue
+            i = next_of.get(x, int(np.searchsorted(ranked, np.uint64(x), "left")))
+            while i < len(ranked) and ranked[i] == x:
+                d = int(places[i])
+                if theirs[d : d + low].any():
+                    i += 1
+                    continue
+                if not np.array_equal(item[p : p + low], doc[d : d + low]):
+                    i += 1
+                    continue
+                mine[p : p + low], theirs[d : d + low] = True, True
+                out.append((low, p, d))
+                break
+            next_of[x] = i
+        most = low - 1
+    return out
+
+
 def compare(block: Block, text: bytes, coverage: float) -> list[tuple[int, int, int, int, int]]:
     """(item_id, words of the item, tiled words, tiles, longest tile) of each item that the text covers."""
     found = words(text)
     ids = np.fromiter(map(block.number.get, found, repeat(-1)), np.int64, len(found))
-    item, place, at = block.hits(ids)
+    h = rolling(ids)
+    item, place = block.seeded(h)
     out = []
     if len(item):
         order = np.argsort(item, kind="stable")
-        item, place, at = item[order], place[order], at[order]
+        item, place = item[order], place[order]
         cut = np.flatnonzero(np.diff(item)) + 1
         for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(item)], strict=True):
             item_id, own = block.items[item[i]]
@@ -130,7 +214,8 @@ def compare(block: Block, text: bytes, coverage: float) -> list[tuple[int, int,
             for k in range(SEED):
                 seeded[place[i:j] + k] = True
             if seeded.sum() >= coverage * len(own):
-                got = tiles(matches(own, ids, place[i:j], at[i:j]), len(own), len(ids))
+                pairs = seed_pairs(own, h)
+                got = long_tiles(own, ids) if pairs is None else tiles(matches(own, ids, *pairs), len(own), len(ids))
                 n = sum(t[0] for t in got)
                 if n >= coverage * len(own):
                     out.append((item_id, len(own), n, len(got), max(t[0] for t in got)))

@@ -2,8 +2,8 @@
 
 Four kinds of evidence meet in one posterior per row, by Bayes' rule over the languages and `und`:
 
-- text: byte trigrams under naive Bayes models fitted on a sample of at most about TRAIN_ROWS labelled rows
-  (a parameter; everything else covers all rows), tempered so that a long text does not drown the rest;
+- text: byte trigrams under naive Bayes models, one for every label of the table, each fitted on a sample of at most about
+  LABEL_ROWS of its rows (a parameter; everything else covers all rows), tempered so that a long text does not drown the rest;
   `und` is a uniform model, which fits text of no known language best;
 - markup: the declared language, with P(declared | language) counted over all rows;
 - address: the top-level suffix, with P(suffix | language) counted over all rows;
@@ -31,8 +31,7 @@ from pyspark.sql import types as T
 
 from changelens.llm.common import map_rows, packed, stored
 
-TRAIN_ROWS = 4000
-MAX_LANGUAGES = 32
+LABEL_ROWS = 1000
 FEATURES = 1 << 15
 PART_BYTES = 2 << 20
 #: Hosts up to which their table (three arrays of a number per class each) is broadcast.
@@ -74,12 +73,13 @@ class Model:
         return score / (1 + seen / TEMPER)[:, None], seen > 0
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Models of the MAX_LANGUAGES most frequent labels (column lang) on about `train_rows` rows chosen by a hash of the id."""
+def fit(labelled: DataFrame, label_rows: int = LABEL_ROWS) -> Model:
+    """A model of every label (column lang) on about `label_rows` of its rows, chosen by a hash of the id."""
     rows = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    share = min(1.0, train_rows / max(1, rows.count()))
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    names = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each label
+    names = sorted(sizes)
+    bars = [x for name in names for x in (F.lit(name), F.lit(int(min(1.0, label_rows / sizes[name]) * (1 << 20))))]
+    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(F.create_map(*bars), F.col("lang"))) if names else rows
 
     def make():
         def run(texts, batch):
@@ -101,7 +101,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
 
     counts = np.zeros((len(names), FEATURES))
     found = map_rows(rows.select("text", "lang"), make, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    for r in found.mapInArrow(packed_counts, "cells binary, counts binary").collect():  # MAX_LANGUAGES * FEATURES cells at most
+    for r in found.mapInArrow(packed_counts, "cells binary, counts binary").collect():  # FEATURES cells for each label at most
         counts.flat[np.frombuffer(r.cells, np.int64)] = np.frombuffer(r.counts, np.int64)
     loglik = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * FEATURES))
     loglik = np.concatenate([loglik, np.full((1, FEATURES), -np.log(FEATURES))]).astype(np.float32)
@@ -205,12 +205,12 @@ def fuse(scored: DataFrame, model: Model) -> DataFrame:
     return rows.drop("score", "own", "nh", "nd", "ns", "mnh", "mnd", "mns", "markup", "logs", "post")
 
 
-def identify(documents: DataFrame, pages: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def identify(documents: DataFrame, pages: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
     """Documents (their source is the host) and pages (url and html) in one table.
 
     doc_id, page_id, declared, suffix, domain, host, has_text, language, confidence, accepted, text_language.
     """
-    model = fit(documents, train_rows)
+    model = fit(documents, label_rows)
     none = F.lit(None).cast("string")
     host, domain, suffix = address(F.col("url"))
     rows = documents.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", none.alias("declared"), none.alias("suffix"), none.alias("domain"), F.concat(F.lit("source:"), "source").alias("host"))
@@ -218,9 +218,9 @@ def identify(documents: DataFrame, pages: DataFrame, train_rows: int = TRAIN_ROW
     return fuse(stored(text_evidence(rows, model), "evidence"), model)
 
 
-def keep_known(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def keep_known(documents: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
     """The accepted documents with all their columns."""
-    model = fit(documents, train_rows)
+    model = fit(documents, label_rows)
     none = F.lit(None).cast("string")
     rows = packed(documents, text=F.col("text"), declared=none, suffix=none, domain=none, host=F.concat(F.lit("source:"), F.col("source")))
     return fuse(stored(text_evidence(rows, model), "evidence"), model).filter("accepted").select("row.*")

@@ -3,7 +3,7 @@
 1. Every task counts the pre-tokens of its texts; the counts meet in one aggregation: the distinct pre-tokens.
 2. Each distinct pre-token is encoded once, for its number of pieces; the table is stored.
 3. Per document, pre-token frequencies are joined to that table and summed. The most frequent
-   pre-tokens (`known` at most, so a bounded broadcast) are looked up where the document is; the rest
+   pre-tokens (`known` at most, of SHORT bytes at most, so a bounded broadcast) are looked up where the document is; the rest
    are exchanged and joined with the stored table, so every pre-token counts.
 
 Defined results: null and empty texts have no bytes and no tokens; repeated rows and repeated or null ids give a
@@ -24,6 +24,7 @@ from changelens.llm.common import map_rows, stored
 from changelens.llm.pretokens import Encoder, chunks
 
 KNOWN = 200_000
+SHORT = 64
 HELD = 400_000
 
 
@@ -76,7 +77,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, known: int
     """doc_id, n_bytes, n_tokens, over_limit (more than `limit`) for every document."""
     spark = docs.sparkSession
     pieces = stored(piece_counts(pretoken_counts(docs), tokenizer), "pieces")
-    top = pieces.filter(F.col("freq") >= frequent(pieces, known)).select("pretoken", "n_pieces").toPandas()
+    top = pieces.filter((F.col("freq") >= frequent(pieces, known)) & (F.octet_length("pretoken") <= SHORT)).select("pretoken", "n_pieces").toPandas()
     shared = spark.sparkContext.broadcast(dict(zip(map(bytes, top["pretoken"]), top["n_pieces"].tolist(), strict=True)))
 
     def make():

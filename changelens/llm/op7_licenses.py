@@ -1,6 +1,7 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates, in DataFrame functions.
 
-A block is a line (for one-line templates) or a paragraph between blank lines (for longer notices). Template
+A block is a window of up to LINES neighbouring lines of a paragraph (for statements of a line, which may be wrapped) or a
+paragraph between blank lines (for longer notices); a window holds all shorter ones, so these need no look of their own. Template
 T is found in block B if B holds at least o = ceil(THRESHOLD * |T|) of T's distinct words. Only words of some template
 can count, so blocks are reduced to these while the text is read. Words are ordered by their number of lines over all
 documents, rarest first; then a block that reaches o for T shares a word of T's prefix (the first |T| - o + 1)
@@ -20,9 +21,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changelens.functions.rows import let
 from changelens.llm.common import stored
 
 THRESHOLD = 0.8
+LINES = 3
 #: The phrases that are always looked for.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Well-known license statements of one line (kind line) and notices (kind paragraph).
@@ -35,6 +38,13 @@ TEMPLATES = [
     ("line", "cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("line", "cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("line", "mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("line", "gpl-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("line", "bsd", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
+    ("line", "cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("line", "unlicense", "This is free and unencumbered software released into the public domain"),
+    ("paragraph", "isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("paragraph", "lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("paragraph", "agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("paragraph", "mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("paragraph", "bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("paragraph", "gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
@@ -74,11 +84,18 @@ def reduced(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES,
     none = F.expr("CAST(array() AS array<int>)")
     whole = F.flatten(F.flatten("paragraphs"))
     found = F.transform(F.array(F.when(F.col("p0") | F.col("p1") | F.col("p2"), whole)), lambda w: F.array(*[F.when(F.col(f"p{i}"), starts(w, p)).otherwise(none) for i, p in enumerate(PHRASES)]))[0]
-    as_lines = F.transform(F.flatten("paragraphs"), lambda w: F.array_intersect(w, names))
-    as_paragraphs = F.transform(F.filter("paragraphs", lambda p: F.size(p) > 0), lambda p: F.array_distinct(F.flatten(F.transform(p, lambda w: F.array_intersect(w, names)))))
-    few = min([_need(len(set(words(t))), threshold) for k, _, t in templates if k == "paragraph"], default=1 << 30)
-    rows = rows.select("doc_id", F.aggregate(F.transform(F.flatten("paragraphs"), lambda w: F.size(w).cast("long")), F.lit(0).cast("long"), lambda a, n: a + n).alias("n_words"), found.alias("starts"),
-                       F.filter(as_lines, lambda b: F.size(b) > 0).alias("lines"), F.filter(as_paragraphs, lambda b: F.size(b) >= few).alias("notices"))
+    few = {kind: min([_need(len(set(words(t))), threshold) for k, _, t in templates if k == kind], default=1 << 30) for kind in ("line", "paragraph")}
+
+    def blocks(held: Column) -> Column:
+        window = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - LINES, F.lit(0))), lambda i: F.array_distinct(F.flatten(F.slice(p, i + 1, LINES))))
+        notices = F.transform(held, lambda p: F.array_distinct(F.flatten(p)))
+        return F.struct(F.filter(F.flatten(F.transform(held, window)), lambda b: F.size(b) >= few["line"]).alias("lines"),
+                        F.filter(notices, lambda b: F.size(b) >= few["paragraph"]).alias("notices"))
+
+    kept = F.transform("paragraphs", lambda p: F.transform(p, lambda w: F.array_intersect(w, names)))
+    full = F.filter(kept, lambda p: F.exists(p, lambda w: F.size(w) > 0))
+    n_words = F.aggregate(F.transform(F.flatten("paragraphs"), lambda w: F.size(w).cast("long")), F.lit(0).cast("long"), lambda a, n: a + n)
+    rows = rows.select("doc_id", n_words.alias("n_words"), found.alias("starts"), let(full, blocks).alias("b")).select("doc_id", "n_words", "starts", "b.*")
     return stored(rows.withColumn("row_no", F.monotonically_increasing_id()), "blocks")
 
 

@@ -47,8 +47,9 @@ def licenses_sql(threshold: float = op7_licenses.THRESHOLD) -> str:
 WITH t(template, kind, label, own, need) AS (VALUES {", ".join(rows)}),
 x AS (SELECT doc_id, lower(coalesce(text, '')) AS body FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(body, '{word}') AS ws FROM x),
-b AS (SELECT doc_id, 'line' AS kind, unnest(string_split(body, chr(10))) AS block FROM x
-      UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(body, '\\n[ \\t\\r]*\\n')) FROM x),
+p AS (SELECT doc_id, unnest(regexp_split_to_array(body, '\\n[ \\t\\r]*\\n')) AS par FROM x),
+pl AS (SELECT doc_id, ls, unnest(range(greatest(len(ls) - {op7_licenses.LINES - 1}, 1))) AS i FROM (SELECT doc_id, string_split(par, chr(10)) AS ls FROM p)),
+b AS (SELECT doc_id, 'line' AS kind, array_to_string(ls[i + 1 : i + {op7_licenses.LINES}], ' ') AS block FROM pl UNION ALL SELECT doc_id, 'paragraph', par FROM p),
 bw AS (SELECT doc_id, kind, list_distinct(regexp_extract_all(block, '{word}')) AS ws FROM b),
 hit AS (SELECT doc_id, label, max(len(list_intersect(ws, own)) / len(own)) AS containment FROM bw JOIN t USING (kind) WHERE len(list_intersect(ws, own)) >= need GROUP BY 1, 2),
 base AS ({" UNION ALL ".join(cases)}),

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -43,6 +44,28 @@ def plain(rows):
     return sorted(out, key=repr), {c: [t[2:] for t in sorted(ts)] for c, ts in convs.items()}
 
 
+def above(nodes, n):
+    out = []
+    while n.parent is not None:
+        n = nodes[n.parent]
+        out.append(n)
+    return out[::-1]
+
+
+def test_deep_conversations(spark, tmp_path):
+    long = [(1, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(20_000)]
+    branch = [(2, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(10_000)] + [(2, 10_000, "user", "other")]
+    rows = long + branch + [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "user", "b")]
+    start = time.time()
+    op1.build(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/deep", PATH)
+    got = sorted(map(tuple, op1.digests(op1.read_conversations(spark, f"{tmp_path}/deep", PATH)).collect()), key=repr)
+    assert time.time() - start < 60
+    assert [x[:2] for x in got] == [(1, 20_000), (2, 10_001), (None, 1), (None, 1), (None, 1)]
+    assert got[:2] == plain(long + branch)[0]
+    nodes = spark.read.parquet(f"{tmp_path}/deep/nodes")
+    assert nodes.count() == 20_000 + 1 + 2 and nodes.selectExpr("max(size(attention))").first()[0] <= 2
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_tree(spark, tmp_path, parts):
     rows = conversations()
@@ -64,15 +87,16 @@ def test_tree(spark, tmp_path, parts):
         at += nodes[s].n_tokens
     assert len(nodes) == len({tuple(t[: k + 1]) for t in convs.values() for k in range(len(t))})  # shared turns once
     for n in nodes.values():
-        own = [nodes[a] for a in n.ancestors]
+        own = above(nodes, n)
+        assert [a.no for a in own] == [i for x in n.attention for i in range(x.first, x.last)]
         assert [a.depth for a in own] == list(range(n.depth)) and all(a.start < n.start for a in own)
         assert n.position == sum(a.n_tokens for a in own) and n.position_ids == list(range(n.position, n.position + n.n_tokens)) and len(n.tokens) == n.n_tokens
         places = [p for a in own for p in range(a.start, a.start + a.n_tokens)]
         assert [p for i in n.attention for p in range(i.start, i.end)] == places
         assert all(x.end < y.start for x, y in zip(n.attention, n.attention[1:]))
         assert n.tree == (own[0].start if own else n.start)
-        below = [m for m in nodes.values() if n.start in m.ancestors]
-        assert not below or max(m.start for m in below) + 0 < min([m.start for m in nodes.values() if m.start > n.start and n.start not in m.ancestors], default=at)  # depth-first
+        below = [m for m in nodes.values() if n in above(nodes, m)]
+        assert not below or max(m.start for m in below) + 0 < min([m.start for m in nodes.values() if m.start > n.start and n not in above(nodes, m)], default=at)  # depth-first
 
 
 def test_empty(spark, tmp_path):

@@ -74,7 +74,9 @@ def plain_scan(text):
     best, more = 0.0, set()
     for kind, label, t in op7.TEMPLATES:
         own = set(op7.words(t))
-        for b in low.split("\n") if kind == "line" else re.split(op7._BLANK_LINE, low):
+        pars = re.split(op7._BLANK_LINE, low)
+        windows = [" ".join(ls[i : i + op7.LINES]) for ls in (p.split("\n") for p in pars) for i in range(max(1, len(ls) - op7.LINES + 1))]
+        for b in windows if kind == "line" else pars:
             n = len(own & {w for w in re.split(op7.GAP, b) if w})
             if n >= op7._need(len(own), op7.THRESHOLD):
                 more.add(label)
@@ -95,6 +97,13 @@ def license_texts():
     return out
 
 
+def test_wrapped_statements_are_found(spark):
+    text = "/* " + next(t for _, lab, t in op7.TEMPLATES if lab == "mpl-2.0").replace("Mozilla Public", "Mozilla Public\n *") + " */"
+    far = text.replace("\n", "\n\n")
+    got = {r.doc_id: (r.labels, r.score) for r in op7.scan(docs(spark, [text, far, "a\n" + text + "\nb"])).collect()}
+    assert got[0] == got[2] == ("mpl-2.0", 1.0) and got[1][1] < 1.0
+
+
 def test_licenses(spark):
     for df in (docs(spark, license_texts()), awkward(docs(spark, license_texts())), awkward(docs(spark))):
         got = [tuple(r) for r in op7.scan(df).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect()]

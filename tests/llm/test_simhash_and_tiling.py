@@ -161,3 +161,31 @@ def test_reordered_passage_is_found():
     block = op2.Block([(7, " ".join(item).encode())])
     assert op2.compare(block, f"{prose(50, 1)} {' '.join(moved)} {prose(50, 2)}".encode(), 0.9)[0][0] == 7
     assert op2.compare(block, prose(500, 3).encode(), 0.5) == []
+
+
+def test_tiles_by_windows_are_those_of_all_matches():
+    for seed in range(1500):
+        r = random.Random(seed)
+        k = r.choice([1, 2, 3, 5])
+        item = np.array([r.randrange(k) for _ in range(r.randint(0, 25))], np.int64)
+        doc = np.array([r.choice([-1, *range(k)]) for _ in range(r.randint(0, 40))], np.int64)
+        own, h = op2.rolling(item), op2.rolling(doc)
+        pairs = [(p, d) for p in range(len(own)) for d in range(len(h)) if h[d] and own[p] == h[d]]
+        want = op2.tiles(op2.matches(item, doc, *(np.array(x, np.int64) for x in zip(*pairs, strict=True))), len(item), len(doc)) if pairs else []
+        assert sorted(op2.long_tiles(item, doc)) == sorted(want)
+
+
+def test_seeds_of_neighbouring_numbers_differ():
+    seeds = op2.rolling(np.array([0, 0, 0, 0, 0, 0, 0, 1], np.int64))
+    assert seeds[0] != seeds[4]
+
+
+def test_repeated_words_need_memory_in_proportion():
+    import tracemalloc
+
+    block = op2.Block([(1, b"ha " * 2000), (2, b"ha ho " * 500)])
+    text = b"ha " * 350_000
+    tracemalloc.start()
+    assert op2.compare(block, text, 0.5) == [(1, 2000, 2000, 1, 2000)]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()

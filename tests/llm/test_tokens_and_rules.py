@@ -80,10 +80,11 @@ def test_sequence_files(spark, tokenizer, tmp_path):
         at += len(ids)
     reader = op4.Reader(out)
     shard = got[10].shard
-    ids, mask = reader.sequence(shard, 1)
+    attempt = index.filter(f"shard = {shard}").first().attempt
+    ids, mask = reader.sequence(shard, attempt, 1)
     assert len(ids) == 64 and ids.base is not None and mask.to_pylist() == [True] * 64
     total = sum(r.n_tokens for r in got.values() if r.shard == shard)
-    ids, mask = reader.sequence(shard, total // 64)
+    ids, mask = reader.sequence(shard, attempt, total // 64)
     assert mask.to_pylist() == [i < total % 64 for i in range(64)]
 
 
