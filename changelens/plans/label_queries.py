@@ -77,9 +77,8 @@ def event_tracks(spark, d):
 # History gates
 
 def _detections(spark, d):
-    """Each predicted label of the base run with a confidence (none for some)."""
-    r = runs(spark, d).where("track = 'base'")
-    return pos_rows(r, "predicted", "case_id", names=("ord", "type")).withColumn(
+    """Each predicted label of every run with a confidence (none for some)."""
+    return pos_rows(runs(spark, d), "predicted", "case_id", "track", names=("ord", "type")).withColumn(
         "confidence", F.when(F.col("ord") > 0, F.length("case_id") * 20 + F.col("ord")))
 
 
@@ -93,12 +92,12 @@ def label_history(spark, d):
 
 def confidence_hard_block(spark, d):
     out = filters.confidence_gate(_detections(spark, d), _history(spark, d), hard_floor=0.30, threshold=80)
-    return out.select("case_id", "type", "confidence", "reason")
+    return out.select("case_id", "track", "type", "confidence", "reason")
 
 
 def candidate_floor(spark, d):
     out = filters.candidate_floor(_detections(spark, d), _history(spark, d), floor=0.5)
-    return out.select("case_id", "type", "reason")
+    return out.select("case_id", "track", "type", "reason")
 
 
 # Rules
@@ -231,8 +230,8 @@ def clean_totals(spark, d):
 
 
 def case_records(spark, d):
-    r = runs(spark, d).where("track = 'base'").select(
-        "case_id", F.lit("").alias("url"), F.col("predicted").alias("final_types"), F.col("truth").alias("refactoring_types"))
+    r = runs(spark, d).select(
+        F.concat("track", F.lit("/"), "case_id").alias("case_id"), F.lit("").alias("url"), F.col("predicted").alias("final_types"), F.col("truth").alias("refactoring_types"))
     return logs.case_record(r).select("case_id", F.array_join("final_known", "|").alias("final_known"),
                                       F.array_join("final_undefined", "|").alias("final_undefined"),
                                       *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])
@@ -286,8 +285,8 @@ _SHARED = """common AS (SELECT case_id FROM runs WHERE track IN ('base', 'checke
 _TRACKS = f"WITH {_ROWS}, s AS ({_counts('px', 'gx', 't', _BY_TRACK)}), {_N} SELECT track, n, tp, fp, fn, {_PRF} FROM s JOIN n USING (track)"
 _HIST = f"""h0 AS ({_counts('pe', 'gt', 't', 'coalesce(a.t, b.t) AS type')}),
 hist AS (SELECT type, tp + fp AS support, tp / (tp + fp) AS p FROM h0 WHERE tp + fp > 0)"""
-_DET = """det AS (SELECT case_id, unnest(predicted) AS type, generate_subscripts(predicted, 1) - 1 AS ord FROM runs WHERE track = 'base'),
-det2 AS (SELECT case_id, type, CASE WHEN ord > 0 THEN length(case_id) * 20 + ord END AS confidence FROM det)"""
+_DET = """det AS (SELECT case_id, track, unnest(predicted) AS type, generate_subscripts(predicted, 1) - 1 AS ord FROM runs),
+det2 AS (SELECT case_id, track, type, CASE WHEN ord > 0 THEN length(case_id) * 20 + ord END AS confidence FROM det)"""
 _BASK = """bask AS (SELECT DISTINCT l_orderkey AS c, p_brand AS l FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 _SMALL = """bask AS (SELECT DISTINCT c, l FROM (SELECT l_orderkey AS c, l_returnflag AS l FROM lineitem UNION ALL SELECT l_orderkey, l_linestatus FROM lineitem
 UNION ALL SELECT o_orderkey, o_orderpriority FROM orders UNION ALL SELECT o_orderkey, lower(o_orderstatus) FROM orders))"""
@@ -364,9 +363,9 @@ SELECT track, type, tp, fp, fn, round({_div('tp', 'tp + fp')}, 4) AS precision,
     "event_tracks": """WITH c AS (SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events))
 SELECT event_type AS track, count(*) AS n, count(*) FILTER (value > 10) AS n_high FROM events SEMI JOIN c USING (user_id) GROUP BY 1""",
     "label_history": f"WITH {_ROWS}, {_HIST} SELECT type, support, round(p, 9) AS precision FROM hist",
-    "confidence_hard_block": f"""WITH {_ROWS}, {_HIST}, {_DET} SELECT case_id, d.type, confidence, CASE WHEN h.p < 0.30 THEN 'hard_block_low_P' WHEN confidence < 80 THEN 'confidence<threshold' END AS reason
+    "confidence_hard_block": f"""WITH {_ROWS}, {_HIST}, {_DET} SELECT case_id, d.track, d.type, confidence, CASE WHEN h.p < 0.30 THEN 'hard_block_low_P' WHEN confidence < 80 THEN 'confidence<threshold' END AS reason
 FROM det2 d LEFT JOIN hist h ON d.type = h.type AND support >= 3""",
-    "candidate_floor": f"WITH {_ROWS}, {_HIST}, {_DET} SELECT case_id, d.type, CASE WHEN h.p < 0.5 THEN 'historical_P<floor' END AS reason FROM det2 d LEFT JOIN hist h ON d.type = h.type AND support >= 3",
+    "candidate_floor": f"WITH {_ROWS}, {_HIST}, {_DET} SELECT case_id, d.track, d.type, CASE WHEN h.p < 0.5 THEN 'historical_P<floor' END AS reason FROM det2 d LEFT JOIN hist h ON d.type = h.type AND support >= 3",
     "cooccurrence_npmi": f"WITH {_BASK}, {_STATS} SELECT a, b, n_ab, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(npmi, 6) AS npmi FROM st",
     "mined_hints": f"""WITH {_BASK}, {_STATS}, {_hints_cte('n_ab DESC', 'h1')}, {_hints_cte('round(npmi, 9) DESC', 'h2')}, {_hints_cte('round(lift * confidence, 9) DESC', 'h3')}
 SELECT 'count' AS version, src, ord, dst FROM h1 WHERE ord <= 4 UNION ALL SELECT 'npmi', src, ord, dst FROM h2 WHERE ord <= 4 UNION ALL SELECT 'rule', src, ord, dst FROM h3 WHERE ord <= 4""",
@@ -395,7 +394,7 @@ CASE WHEN fmt = 'commit' THEN 0 ELSE 1 END AS n_before, CASE fmt WHEN 'new' THEN
     "clean_totals": f"""WITH {_ING}, c AS (SELECT fmt, CASE WHEN fmt = 'commit' THEN 0 ELSE length(before) + length(after) END + CASE fmt WHEN 'new' THEN 34 WHEN 'commit' THEN 0 ELSE 17 END AS x,
 CASE WHEN fmt = 'commit' THEN 0 ELSE {_CLEANED.format('before')} + {_CLEANED.format('after')} END + CASE fmt WHEN 'new' THEN 24 WHEN 'commit' THEN 0 ELSE 12 END AS y FROM k)
 SELECT fmt, count(*) AS n, CAST(sum(x) AS BIGINT) AS chars_before, CAST(sum(y) AS BIGINT) AS chars_after FROM c GROUP BY fmt""",
-    "case_records": f"""WITH {D.DUCK_RUNS}, r AS (SELECT * FROM runs WHERE track = 'base'), s AS (SELECT case_id, list_filter(predicted, lambda t: NOT starts_with(t, 'UnknownType')) AS fk,
+    "case_records": f"""WITH {D.DUCK_RUNS}, r AS (SELECT track || '/' || case_id AS case_id, predicted, truth FROM runs), s AS (SELECT case_id, list_filter(predicted, lambda t: NOT starts_with(t, 'UnknownType')) AS fk,
 list_filter(predicted, lambda t: starts_with(t, 'UnknownType')) AS fu, truth FROM r)
 SELECT case_id, array_to_string(fk, '|') AS final_known, array_to_string(fu, '|') AS final_undefined, len(list_intersect(fk, truth)) AS tp,
 len(list_filter(fk, lambda t: NOT list_contains(truth, t))) AS fp, len(list_filter(truth, lambda t: NOT list_contains(fk, t))) AS fn FROM s""",

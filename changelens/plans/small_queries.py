@@ -66,7 +66,7 @@ def log_counts(spark, d):
     import uuid
 
     path = f"{checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
-    done = runs(spark, d).where("track = 'base'").select(
+    done = runs(spark, d).select(
         "case_id", F.lit(None).cast("string").alias("url"), F.col("predicted").alias("final_types"), F.col("truth").alias("refactoring_types"),
         F.element_at("truth", 1).alias("scheduled_for_type"))
     logs.append_log(logs.case_record(done), path)
@@ -128,7 +128,7 @@ ORACLE = {
     "anchor_ids": """SELECT conv_id, coalesce(string_agg(conv_id || '-' || turn, ',' ORDER BY turn) FILTER (turn % 3 > 0), '') AS ids FROM conversations GROUP BY conv_id""",
     "exemplar_summary": """SELECT conv_id, count(*) AS n, md5(string_agg(turn || ':' || role || ':' || CASE WHEN length(text) > 40 THEN left(text, 40) || '...[truncated]' ELSE text END, chr(10) ORDER BY turn)) AS md5
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) WHERE i <= 5 GROUP BY conv_id""",
-    "log_counts": f"WITH {D.DUCK_RUNS} SELECT truth[1] AS type, count(*) AS n FROM runs WHERE track = 'base' AND truth[1] <> '' GROUP BY 1",
+    "log_counts": f"WITH {D.DUCK_RUNS} SELECT truth[1] AS type, count(*) AS n FROM runs WHERE truth[1] <> '' GROUP BY 1",
     "tree_children": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 3 END::BIGINT AS n_rows, 'f:' || o_orderkey || CASE WHEN o_orderstatus = 'F' THEN ',g:6' ELSE '' END AS methods FROM orders""",
     "level_reference": _level_sql(),
     "case_summaries": f"SELECT CAST(o_orderkey AS VARCHAR) AS case_id, {D.URL} AS url, '' AS repository, '' AS sha1, array_to_string({D.duck_labels(D.TRUTH)}, '|') AS types, md5({D.DIFF}) AS diff_md5 FROM orders",
