@@ -105,13 +105,19 @@ def _example(tag_indent: str, x: Column, code: Column) -> Column:
         F.lit(f"{tag_indent}</example>"))
 
 
+def level_types(level: Column) -> Column:
+    """The labels of a level; none for an unknown one."""
+    book = F.create_map(*[x for lv, names in L.LEVELS.items() for x in (F.lit(lv), F.array(*[F.lit(n) for n in names]))])
+    return F.coalesce(F.try_element_at(book, level), F.array().cast("array<string>"))
+
+
 def _code(x: Column) -> Column:
     return X.exemplar_text(x["code_text"], x["code_before"], x["code_after"])
 
 
-def level_examples_xml(exemplars, level: str, limit: int = 15, budget=None) -> Column:
-    """Exemplars of one level, best first, within the character budget."""
-    names = F.array(*[F.lit(n) for n in L.LEVELS[level]])
+def level_examples_xml(exemplars, level: str | Column, limit: int = 15, budget=None) -> Column:
+    """Exemplars of one level (a name or a column of names), best first, within the character budget."""
+    names = level_types(level if isinstance(level, Column) else F.lit(level))
     mine = rank_exemplars(F.filter(_c(exemplars), lambda x: F.array_contains(names, x["refactoring_type"])), limit)
     coded = F.transform(mine, lambda x: F.struct(x.alias("x"), _code(x).alias("code")))
     if budget is not None:

@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens import labels as L
+from changelens import schemas
 from changelens.config import EngineConfig
 from changelens.functions import replies as P
 from changelens.functions import text as X
 from changelens.functions.diffs import context_window
+from changelens.functions.rows import rows
 from changelens.operators import context as C
 from changelens.operators import filters, rules, setops
+from changelens.operators import retrieval as R
 from changelens.operators.signals import compute_signals, signal_tags, signals_xml
 from changelens.operators.structure import SUMMARY, SUMMARY_TYPE, compute_facts, facts_summary, facts_xml
 from changelens.plans.session import stored
@@ -30,6 +33,7 @@ from changelens.plans.session import stored
 ModelFn = Callable[[str, str, float], str]  # system text, user text, temperature -> reply
 BATCH = 5
 TEMPERATURES = [0.0, 0.2, 0.4, 0.6]
+OWN_SHARE, RETRIEVED_SHARE = 0.65, 0.5  # fixed values: parts of the context for a case's own and for retrieved exemplars
 _PAIRS = "array<struct<type:string,evidence:string>>"
 _ROW = ["case_id", "ord", "type", "evidence", "confidence"]
 
@@ -47,8 +51,96 @@ class Prompts:
     definitions: dict = field(default_factory=dict)
 
 
-def call_model(requests: DataFrame, model: ModelFn) -> DataFrame:
+@dataclass(frozen=True)
+class Knowledge:
+    """What requests tell the model beside the case itself; every part may be left out.
+
+    ``index`` and ``pool`` are the exemplars' vectors and records by ``id``: from them each label asked for gets ``k`` exemplars, nearest to the
+    mean of the case's own ones. ``trophies`` is ``(case_id, trophies)``, successful cases by similarity, shown if the configuration says so.
+    ``hint_tables`` holds mined hint tables by version, ``confusions`` the hint sentence of a label. With ``num_ctx``, the
+    model's context in tokens, exemplars that the rest of a request leaves no room for are passed over.
+    """
+
+    index: DataFrame | None = None
+    pool: DataFrame | None = None
+    trophies: DataFrame | None = None
+    hint_tables: dict = field(default_factory=dict)
+    confusions: dict = field(default_factory=dict)
+    k: int = 5
+    dim: int = 64
+    level_limit: int = 15
+    num_ctx: int | None = None
+
+    def budget(self, share: float) -> Column | None:
+        """Characters for the exemplars of a case."""
+        return None if self.num_ctx is None else C.char_budget(self.num_ctx, "code_diff", share)
+
+
+@dataclass(frozen=True)
+class Recorder:
+    """A model whose calls are kept: ``calls`` holds (stage, answered requests)."""
+
+    model: ModelFn
+    calls: list = field(default_factory=list)
+
+    def log(self) -> DataFrame:
+        """``(case_id, stage, prompt, reply, error, duration_s, called_at)`` of every call."""
+        out = None
+        for stage, asked in self.calls:
+            rows = asked.select("case_id", F.lit(stage).alias("stage"), "prompt", "reply", "error", "duration_s", "called_at")
+            out = rows if out is None else out.union(rows)
+        return out
+
+
+def active_hints(cfg: EngineConfig, knowledge: Knowledge, hints: dict | None = None) -> dict | None:
+    """The hint table of the configured version: None for the curated one. A version nobody gave is an error."""
+    if hints is not None or cfg.hints_version in ("", "curated"):
+        return hints
+    if cfg.hints_version not in knowledge.hint_tables:
+        raise ValueError(f"no hint table of version {cfg.hints_version!r}; given: {sorted(knowledge.hint_tables)}")
+    return knowledge.hint_tables[cfg.hints_version]
+
+
+def with_exemplars(cases: DataFrame) -> DataFrame:
+    """The cases with ``java_examples``, null where the table has no such column."""
+    return cases if "java_examples" in cases.columns else cases.withColumn("java_examples", F.lit(None).cast(f"array<{schemas.EXEMPLAR}>"))
+
+
+def with_trophies(cases: DataFrame, cfg: EngineConfig, knowledge: Knowledge) -> DataFrame:
+    """Add ``trophies_xml``, empty unless the configuration asks for successful cases."""
+    if not cfg.use_trophies or knowledge.trophies is None:
+        return cases.withColumn("trophies_xml", F.lit(""))
+    shown = knowledge.trophies.select("case_id", C.trophies_xml("trophies").alias("trophies_xml"))
+    return cases.join(shown, "case_id", "left").withColumn("trophies_xml", F.coalesce("trophies_xml", F.lit("")))
+
+
+def with_retrieved(cases: DataFrame, targets: str, knowledge: Knowledge, out: str = "retrieved_xml") -> DataFrame:
+    """Add the exemplars of the labels in ``targets``: by the case's own exemplars, or the first of each label where it has none."""
+    if knowledge.index is None or knowledge.pool is None:
+        return cases.withColumn(out, F.lit(""))
+    some = with_exemplars(cases).where(F.size(targets) > 0).select("case_id", "code_diff", "java_examples", F.col(targets).alias("targets"))
+    anchors = rows(some, R.anchor_ids("java_examples"), F.col("case_id").alias("query_id"), name="id")
+    queries = stored(R.mean_pool_queries(knowledge.index, anchors, knowledge.dim).join(some.select(F.col("case_id").alias("query_id"), "targets"), "query_id"))
+    near = R.retrieve_for_types(queries, knowledge.index, knowledge.k).select(F.col("query_id").alias("case_id"), "label", "row_id", "rank")
+    none = some.join(queries.select(F.col("query_id").alias("case_id")), "case_id", "left_anti")
+    first = R.without_query(rows(none, "targets", "case_id", name="label"), knowledge.index, knowledge.k).select("case_id", "label", "row_id", "rank")
+    ids = near.union(first).join(knowledge.index.select("row_id", "id"), "row_id")
+    found = R.hydrate(ids, knowledge.pool, "left").join(rows(some, "targets", "case_id", name="label").withColumn("ord", F.lit(0)).distinct(), ["case_id", "label"])
+    at = F.array_position("targets", F.col("label"))
+    one = F.struct(F.col("label").alias("for_type"), F.coalesce(F.col("refactoring_type"), F.col("label")).alias("refactoring_type"), "description", "code_text")
+    lists = found.join(some.select("case_id", "targets", "code_diff"), "case_id").groupBy("case_id").agg(
+        F.first("code_diff").alias("code_diff"),
+        F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "rank", one.alias("x")))), lambda r: r["x"]).alias("_r"))
+    shown = lists.select("case_id", C.retrieved_examples_xml("_r", knowledge.budget(RETRIEVED_SHARE)).alias(out))
+    return cases.join(shown, "case_id", "left").withColumn(out, F.coalesce(out, F.lit("")))
+
+
+def call_model(requests: DataFrame, model: ModelFn | Recorder, stage: str = "") -> DataFrame:
     """Answer ``(key columns, system, user, temperature)`` rows; adds reply, error, duration and time."""
+    if isinstance(model, Recorder):
+        asked = call_model(requests, model.model, stage)
+        model.calls.append((stage, asked))
+        return asked
     keys = [c for c in requests.columns if c not in ("system", "user", "temperature")]
     schema = requests.select(*keys).schema
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
@@ -112,7 +204,7 @@ def _request(df: DataFrame, keys: list, system: Column, user: Column, cfg: Engin
 
 def classify_levels(cases: DataFrame, model: ModelFn, cfg: EngineConfig, prompts: Prompts) -> DataFrame:
     """Add ``levels``: what the model named, all levels if it named none."""
-    asked = call_model(_request(cases, ["case_id"], F.lit(prompts.levels), X.diff_xml("code_diff"), cfg), model)
+    asked = call_model(_request(cases, ["case_id"], F.lit(prompts.levels), X.diff_xml("code_diff"), cfg), model, "levels")
     every = F.array(*[F.lit(n) for n in L.LEVELS])
     got = asked.select("case_id", F.coalesce(P.parse_levels("reply"), every).alias("levels"))
     out = cases.join(got, "case_id", "left")
@@ -124,17 +216,22 @@ def classify_levels(cases: DataFrame, model: ModelFn, cfg: EngineConfig, prompts
     return out.withColumn("levels", levels)
 
 
-def detect(cases: DataFrame, model: ModelFn, cfg: EngineConfig, prompts: Prompts) -> DataFrame:
-    """Add ``stage2_defined`` and ``stage2_undefined``: one call per level, repeated calls must agree."""
+def detect(cases: DataFrame, model: ModelFn, cfg: EngineConfig, prompts: Prompts, knowledge: Knowledge = Knowledge()) -> DataFrame:
+    """Add ``stage2_defined`` and ``stage2_undefined``: one call per level, repeated calls must agree.
+
+    A request shows the case's own exemplars of its level, best first.
+    """
+    cases = with_exemplars(cases if "trophies_xml" in cases.columns else with_trophies(cases, cfg, knowledge))
     n = max(1, min(cfg.detect_calls, len(TEMPERATURES)))
     temps = F.array(*[F.lit(t) for t in (TEMPERATURES[:n] if n > 1 else [0.1])])
-    calls = cases.select("case_id", "code_diff", "facts_xml", F.posexplode("levels").alias("lv_pos", "level")).select(
+    calls = cases.select("case_id", "code_diff", "facts_xml", "trophies_xml", "java_examples", F.posexplode("levels").alias("lv_pos", "level")).select(
         "*", F.posexplode(temps).alias("call", "temp"))
     names = F.create_map(*[x for lv, ns in L.LEVELS.items() for x in (F.lit(lv), F.lit(", ".join(ns)))])
-    user = _block(X.diff_xml("code_diff"), F.col("facts_xml"),
+    shown = F.when(F.size("java_examples") > 0, C.level_examples_xml("java_examples", F.col("level"), knowledge.level_limit, knowledge.budget(OWN_SHARE)))
+    user = _block(X.diff_xml("code_diff"), F.col("facts_xml"), F.col("trophies_xml"), F.coalesce(shown, F.lit("")),
                   F.concat(F.lit("Candidate types at this level: "), F.element_at(names, F.col("level"))))
     system = F.concat(F.lit(prompts.detect + "\nLevel: "), F.translate("level", "_", "-"))
-    asked = call_model(_request(calls, ["case_id", "lv_pos", "call"], system, user, cfg, F.col("temp")), model)
+    asked = call_model(_request(calls, ["case_id", "lv_pos", "call"], system, user, cfg, F.col("temp")), model, "detect")
     parsed = asked.select("case_id", "lv_pos", "call", P.parse_two_step("reply").alias("p"))
     rows = parsed.select("case_id", "call", "lv_pos", F.explode(F.array(
         F.struct(F.lit("defined").alias("kind"), F.col("p.defined").alias("items")),
@@ -159,8 +256,14 @@ def _types(col: str) -> Column:
 
 
 def find_missing(cases: DataFrame, model: ModelFn, cfg: EngineConfig, prompts: Prompts, history: DataFrame,
-                 rule_rows: DataFrame, hints: dict | None = None) -> DataFrame:
-    """Add ``stage3_targets`` and ``combined``: detections plus additions that pass the evidence gates."""
+                 rule_rows: DataFrame, hints: dict | None = None, knowledge: Knowledge = Knowledge()) -> DataFrame:
+    """Add ``stage3_targets`` and ``combined``: detections plus additions that pass the evidence gates.
+
+    A request shows retrieved exemplars of every candidate.
+    """
+    hints = active_hints(cfg, knowledge, hints)
+    if "trophies_xml" not in cases.columns:
+        cases = with_trophies(cases, cfg, knowledge)
     allowed = L.PARAMETER_LEVEL + L.METHOD_LEVEL if cfg.skip_class_level else L.KNOWN_TYPES
     none = F.array().cast("array<string>")
     base = cases.withColumn("stage2_types", _types("stage2_defined"))
@@ -173,9 +276,10 @@ def find_missing(cases: DataFrame, model: ModelFn, cfg: EngineConfig, prompts: P
         bad = low.agg(F.collect_set("type").alias("_bad"))  # labels of the label space only
         base = base.withColumn("_bad", bad.scalar()).withColumn(
             "stage3_targets", F.array_except("stage3_targets", "_bad")).drop("_bad")
-    user = _block(X.diff_xml("code_diff"), F.col("facts_xml"), X.detections_xml("stage2_detected", "stage2_defined"),
-                  X.candidates_xml("stage3_targets"))
-    asked = call_model(_request(base.where(F.size("stage3_targets") > 0), ["case_id"], F.lit(prompts.missing), user, cfg), model)
+    base = with_retrieved(base, "stage3_targets", knowledge)
+    user = _block(X.diff_xml("code_diff"), F.col("facts_xml"), F.col("trophies_xml"), X.detections_xml("stage2_detected", "stage2_defined"),
+                  X.candidates_xml("stage3_targets"), F.col("retrieved_xml"))
+    asked = call_model(_request(base.where(F.size("stage3_targets") > 0), ["case_id"], F.lit(prompts.missing), user, cfg), model, "missing")
     found = asked.select("case_id", P.parse_block(P.repair("reply"), "additional").alias("additions"))
     base = base.join(found, "case_id", "left")
     keys = F.transform("stage2_types", lambda t: F.lower(X.strip(t)))
@@ -205,14 +309,18 @@ def _gate_additions(base: DataFrame, cfg: EngineConfig, rule_rows: DataFrame) ->
     return base.join(kept, "case_id", "left").withColumn("additions", F.coalesce("_kept", F.array().cast(_PAIRS))).drop("_kept")
 
 
-def verify(cases: DataFrame, model: ModelFn, cfg: EngineConfig, prompts: Prompts) -> DataFrame:
+def verify(cases: DataFrame, model: ModelFn, cfg: EngineConfig, prompts: Prompts, knowledge: Knowledge = Knowledge()) -> DataFrame:
     """One row per surviving detection: ``(case_id, ord, type, evidence, confidence)``.
 
-    If the reply names nothing, every detection so far stays, without confidence.
+    A request shows what the detected labels are confused with, and exemplars of these. If the reply names nothing, every detection so far stays, without confidence.
     """
     some = cases.where(F.size("combined") > 0)
-    user = _block(X.diff_xml("code_diff"), X.detections_xml("detections_so_far", "combined"))
-    asked = call_model(_request(some, ["case_id"], F.lit(prompts.verify), user, cfg), model)
+    if "trophies_xml" not in some.columns:
+        some = with_trophies(some, cfg, knowledge)
+    some = with_retrieved(some.withColumn("_partners", rules.confusion_targets(_types("combined"))), "_partners", knowledge, "partners_xml")
+    confused = C.confusion_hints_xml(_types("combined"), knowledge.confusions) if knowledge.confusions else F.lit("")
+    user = _block(X.diff_xml("code_diff"), F.col("trophies_xml"), X.detections_xml("detections_so_far", "combined"), confused, F.col("partners_xml"))
+    asked = call_model(_request(some, ["case_id"], F.lit(prompts.verify), user, cfg), model, "verify")
     text = P.repair("reply")
     got = asked.select("case_id", P.parse_block(text, "verified").alias("v"), P.parse_confidences(text).alias("conf"))
     both = some.select("case_id", "combined").join(got, "case_id", "left")
@@ -242,7 +350,7 @@ def challenge(detections: DataFrame, cases: DataFrame, model: ModelFn, cfg: Engi
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", item.alias("t")))), lambda x: x["t"]), "\n").alias("items"),
         F.max("facts_xml").alias("facts_xml"))
     facts = F.col("facts_xml") if cfg.adversarial_with_facts else F.lit("")
-    asked = call_model(_request(batches, ["case_id", "batch"], F.lit(prompts.challenge), _block(facts, F.col("items")), cfg), model)
+    asked = call_model(_request(batches, ["case_id", "batch"], F.lit(prompts.challenge), _block(facts, F.col("items")), cfg), model, "challenge")
     verdicts = asked.select("case_id", "batch", F.posexplode(P.parse_keep_drop("reply")).alias("slot", "verdict"))
     return keep_certain_first(detections.where(sure), slots.drop("rn"), verdicts)
 
@@ -271,23 +379,27 @@ def review(detections: DataFrame, cases: DataFrame, model: ModelFn, cfg: EngineC
         F.struct("ord", line.alias("t")))), lambda x: x["t"]), "\n").alias("items"))
     full = lists.join(cases.select("case_id", "code_diff", "facts_xml"), "case_id")
     user = _block(F.col("code_diff"), F.coalesce(F.nullif("facts_xml", F.lit("")), F.lit("(no facts)")), F.col("items"))
-    asked = call_model(_request(full, ["case_id"], F.lit(prompts.review), user, cfg), model)
+    asked = call_model(_request(full, ["case_id"], F.lit(prompts.review), user, cfg), model, "review")
     return apply_review(detections, asked.select("case_id", F.explode(P.parse_review("reply")).alias("type", "verdict")), cfg.review_floor)
 
 
 def run_stages(cases: DataFrame, model: ModelFn, cfg: EngineConfig, prompts: Prompts | None = None,
                history: DataFrame | None = None, rule_rows: DataFrame | None = None, hints: dict | None = None,
-               with_retrieval: bool = True, extractors: dict | None = None) -> DataFrame:
-    """All stages: adds ``final_types`` (sorted known labels, then unknown ones) and the stage outputs."""
-    spark, prompts = cases.sparkSession, prompts or Prompts()
+               with_retrieval: bool = True, extractors: dict | None = None, knowledge: Knowledge | None = None) -> DataFrame:
+    """All stages: adds ``final_types`` (sorted known labels, then unknown ones) and the stage outputs.
+
+    Give a ``Recorder`` as the model to keep all prompts and replies, for ``logs.case_trace``.
+    """
+    spark, prompts, knowledge = cases.sparkSession, prompts or Prompts(), knowledge or Knowledge()
+    active_hints(cfg, knowledge, hints)
     history = history if history is not None else spark.createDataFrame([], "type string, support bigint, precision double")
     rule_rows = rule_rows if rule_rows is not None else spark.createDataFrame([], "antecedent string, consequent string, score double")
     base = cases.withColumn("code_diff", C.format_case("commit_diff", "code_before", "code_after"))
-    base = attach_facts(base, cfg, extractors)
-    base = detect(classify_levels(base, model, cfg, prompts), model, cfg, prompts)
+    base = with_trophies(attach_facts(base, cfg, extractors), cfg, knowledge)
+    base = detect(classify_levels(base, model, cfg, prompts), model, cfg, prompts, knowledge)
     if with_retrieval:
-        base = find_missing(base, model, cfg, prompts, history, rule_rows, hints)
-        rows = verify(base, model, cfg, prompts)
+        base = find_missing(base, model, cfg, prompts, history, rule_rows, hints, knowledge)
+        rows = verify(base, model, cfg, prompts, knowledge)
         if cfg.precision_mode:
             rows = filters.confidence_gate(rows, history, cfg.hard_block_precision, cfg.confidence_threshold).where(
                 "reason is null").select(*_ROW)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens import schemas
+from changelens.config import EngineConfig
+from changelens.operators import context
 from changelens.sources.paths import exists
 
 
@@ -53,6 +55,41 @@ def case_record(df: DataFrame, predicted: str = "final_types", truth: str = "ref
         F.size(F.array_except(g, p)).alias("fn"), col("fatal_error"))
 
 
+def case_trace(df: DataFrame, calls: DataFrame | None, cfg: EngineConfig, predicted: str = "final_types", truth: str = "refactoring_types") -> DataFrame:
+    """The whole trace of every case: its record, the output of each stage, sizes of what requests showed, errors, and all model calls.
+
+    ``df`` is what ``stages.run_stages`` returns, ``calls`` the log of its ``Recorder``. Calls meet their case in a grouping by case; a case
+    without a call keeps an empty list.
+    """
+    one = F.struct("called_at", "stage", "prompt", F.col("reply").alias("response_raw"), "duration_s", "error")
+    said = None if calls is None else calls.groupBy("case_id").agg(F.array_sort(F.collect_list(one)).alias("llm_calls"))
+    rows = df if said is None else df.join(said, "case_id", "left")
+    if said is None:
+        rows = rows.withColumn("llm_calls", F.lit(None).cast("array<struct<called_at:timestamp,stage:string,prompt:string,response_raw:string,duration_s:double,error:string>>"))
+    rows = rows.withColumn("llm_calls", F.coalesce("llm_calls", F.array().cast(rows.schema["llm_calls"].dataType)))
+    have = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c)
+    size = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))) if c in df.columns else F.lit(0)
+    pairs = "array<struct<type:string,evidence:string>>"
+    failed = F.transform(F.filter("llm_calls", lambda c: c["error"].isNotNull()), lambda c: F.concat(c["stage"], F.lit(": "), c["error"]))
+    noted = F.col("fact_errors") if "fact_errors" in df.columns else F.array().cast("array<string>")
+    replies = lambda stage: F.transform(F.filter("llm_calls", lambda c: c["stage"] == stage), lambda c: c["response_raw"])
+    ends = F.transform("llm_calls", lambda c: F.unix_micros(c["called_at"]) / 1e6 + c["duration_s"])
+    record = case_record(df, predicted, truth)
+    more = rows.select(
+        "case_id", context.case_summary(df).alias("python_commit"),
+        context.summarize_exemplars(F.col("java_examples") if "java_examples" in df.columns else F.lit(None).cast(f"array<{schemas.EXEMPLAR}>")).alias("java_examples_used"),
+        have("levels", "array<string>").alias("stage1_output"), have("stage2_defined", pairs), have("stage2_undefined", pairs),
+        have("stage3_targets", "array<string>"), have("additions", pairs).alias("stage3_output"), have("combined", pairs).alias("stage4_targets"),
+        have("verified", "array<string>").alias("stage4_output"), size("facts_xml").alias("structural_facts_chars"),
+        F.lit(None if cfg.disable_facts else cfg.facts_sources).alias("structural_facts_source"), size("trophies_xml").alias("trophies_chars"),
+        F.lit(cfg.precision_mode).alias("precision_mode"), F.concat(noted, failed).alias("errors"),
+        F.struct(*[replies(x).alias(x) for x in ("levels", "detect", "missing", "verify", "challenge", "review")]).alias("stage_raw"),
+        "llm_calls", F.size("llm_calls").alias("n_llm_calls"), F.array_min(F.transform("llm_calls", lambda c: c["called_at"])).alias("started_at"),
+        F.timestamp_micros((F.array_max(ends) * 1e6).cast("bigint")).alias("ended_at"))
+    wall = F.round(F.unix_micros("ended_at") / 1e6 - F.unix_micros("started_at") / 1e6, 2)
+    return record.join(more, "case_id").withColumn("wall_clock_total_s", F.coalesce(wall, F.lit(0.0)))
+
+
 def append_log(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 

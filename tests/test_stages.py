@@ -100,3 +100,44 @@ def test_facts_of_several_sources_add_up(spark):
     silent = lambda changes: structure.members(changes).where("false")
     names = lambda *sources: stages.attach_facts(cases, replace(CFG, facts_sources="+".join(sources)), {"silent": silent}).select("facts.methods_added", "facts.methods_removed").first()
     assert names("ast") == names("ast", "silent") == names("silent", "ast") == (["g"], ["f"])
+
+
+EXEMPLARS = [("e1", "Extract Variable"), ("e2", "Add Parameter"), ("e3", "Rename Variable"), ("e4", "Move Method"), ("e5", "Rename Method")]
+
+
+def test_requests_hold_exemplars_successful_cases_and_hints(spark, tmp_path):
+    from changelens import schemas
+    from changelens.sources import logs
+
+    own = [("e3", "Rename Variable", 0.9, None, "own exemplar", "x = OWN_CODE", None, None, None, None, None, None, None)]
+    cases = spark.createDataFrame([("c1", "u1", DIFF, [], [], ["Rename Variable"], own), ("c2", "u2", DIFF, [], [], [], None)],
+                                  CASE_SCHEMA + f", java_examples array<{schemas.EXEMPLAR}>")
+    index = spark.createDataFrame([(i, e, t, [float(i == j) + 0.1 for j in range(5)]) for i, (e, t) in enumerate(EXEMPLARS)], schemas.EXEMPLAR_INDEX)
+    pool = spark.createDataFrame([(e, t, f"about {e}", f"code_of_{e}") for e, t in EXEMPLARS], "id string, refactoring_type string, description string, code_text string")
+    trophies = spark.createDataFrame([("c1", [(0.9, ["Move Method"], "+won")])], "case_id string, trophies array<struct<sim:double,ground_truth:array<string>,diff_snippet:string>>")
+    knowledge = stages.Knowledge(index=index, pool=pool, trophies=trophies, dim=5, confusions={"Rename Variable": "look at the scope"},
+                                 hint_tables={"mined": {"Rename Variable": ["Extract Variable"]}})
+    cfg = replace(CFG, precision_mode=False, adversarial=False, citation_check=False, use_trophies=True, hints_version="mined", drop_always_check=True)
+    said = stages.Recorder(model)
+    rows = stages.run_stages(cases, said, cfg, knowledge=knowledge)
+    assert {r.case_id: r.stage3_targets for r in rows.collect()} == {"c1": ["Extract Variable"], "c2": ["Extract Variable"]}
+    asked = {(r.case_id, r.stage): r.prompt for r in said.log().collect()}
+    assert "x = OWN_CODE" in asked["c1", "detect"] and "OWN_CODE" not in asked["c2", "detect"]
+    for case in ("c1", "c2"):  # by the case's own exemplars, or the first of the label
+        assert '<for_type name="Extract Variable">' in asked[case, "missing"] and "code_of_e1" in asked[case, "missing"]
+        assert "look at the scope" in asked[case, "verify"] and "code_of_e3" in asked[case, "verify"]
+    assert all("+won" in asked["c1", s] and "+won" not in asked["c2", s] for s in ("detect", "missing", "verify"))
+    trace = logs.case_trace(rows, said.log(), cfg)
+    trace.write.json(str(tmp_path / "trace"))
+    got = {r.case_id: r for r in trace.collect()}
+    assert got["c1"].n_llm_calls == 4 and [c.stage for c in got["c1"].llm_calls] == ["levels", "detect", "missing", "verify"]
+    assert got["c1"].trophies_chars > 0 and got["c2"].trophies_chars == 0 and got["c1"].errors == []
+    assert got["c1"].stage_raw.levels[0].startswith("<levels>") and got["c1"].stage4_output and got["c1"].python_commit.url == "u1"
+    assert got["c1"].java_examples_used[0].id == "e3" and got["c1"].wall_clock_total_s >= 0
+
+
+def test_an_unknown_hint_version_is_an_error(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="v9"):
+        run(spark, replace(CFG, hints_version="v9"))
