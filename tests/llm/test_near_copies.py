@@ -88,7 +88,7 @@ def test_recall_on_thousands_of_planted_pairs(spark):
 
 
 def test_one_large_group_of_near_copies_and_boilerplate(spark):
-    texts, pairs = planted(1, 600)
+    texts, pairs = planted(1, 2000)
     shared = prose(100, 5)  # unlike documents that share two thirds of their text: below the similarity
     unlike = [f"{shared} {' '.join(f'u{i}x{k}' for k in range(50))}" for i in range(200)]
     root = roots_of(spark, texts + unlike)
