@@ -86,3 +86,23 @@ def test_evaluation_text(spark):
     assert "| 4 | 1 | 1 | 1 | 2 | 0.500 | 0.333 | 0.400 |" in text
     assert "| 1 | 0 | 1 | 1.000 | 0.500 |" in text and "rename" not in text
     assert "| 3 | 2 |" in text and "| odd | 2 |" in text and "rare" not in text
+
+
+def test_shared_folder_without_the_setting():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from changelens.plans.session import checkpoint_dir
+
+    def session(master, named=None):
+        made = []
+        context = SimpleNamespace(master=master, setCheckpointDir=made.append)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=context), made
+
+    local, made = session("local[2]")
+    first = checkpoint_dir(local)
+    assert first.startswith("file:///") and checkpoint_dir(local) == first and made == [first, first]
+    assert checkpoint_dir(session("spark://host:7077", "hdfs://shared/x")[0]) == "hdfs://shared/x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session("spark://host:7077")[0])
