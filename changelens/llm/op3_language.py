@@ -44,10 +44,13 @@ _BLANK = (32 << 10 ^ 32 << 5 ^ 32) & (FEATURES - 1)
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams of all texts in a row, and where each text's begin; blank trigrams carry no weight."""
-    joined = b"".join(b" " + t.translate(_FOLD) + b" " for t in texts) + b"  "
+    """Hashed byte trigrams of all texts in a row, and where each text's begin; blank trigrams carry no weight.
+
+    Two blanks stand before a text and one behind it, so no trigram of a text reaches the letters of the next.
+    """
+    joined = b"".join(b"  " + t.translate(_FOLD) + b" " for t in texts) + b"  "
     a = np.frombuffer(joined, np.uint8).astype(np.int32)
-    starts = np.cumsum([0, *(len(t) + 2 for t in texts)])
+    starts = np.cumsum([0, *(len(t) + 3 for t in texts)])
     return (a[:-2] << 10 ^ a[1:-1] << 5 ^ a[2:]) & (FEATURES - 1), starts
 
 
@@ -68,7 +71,7 @@ class Model:
             h, starts = features(texts[at:end])
             seen[at:end] = np.add.reduceat(h != _BLANK, starts[:-1], dtype=np.int64)
             for i, row in enumerate(self.loglik):
-                score[at:end, i] = np.add.reduceat(row[h], starts[:-1])
+                score[at:end, i] = np.add.reduceat(row[h], starts[:-1], dtype=np.float64)
             at = end
         return score / (1 + seen / TEMPER)[:, None], seen > 0
 

@@ -63,3 +63,50 @@ def test_awkward(spark, monkeypatch, hosts):
     assert op3.keep_known(df.limit(0)).count() == 0
     none = op3.identify(df.withColumn("lang", F.lit(None).cast("string")), pages)
     assert {r.language for r in none.collect()} == {"und"}
+
+
+def plain_posteriors(rows, label_of):
+    """Languages of (text, source) rows by a plain loop over the same formulas."""
+    import numpy as np
+
+    names = sorted({x for x in label_of if x is not None})
+    counts = np.zeros((len(names), op3.FEATURES))
+    grams = []
+    for (text, _), lang in zip(rows, label_of, strict=True):
+        h = op3.features([text.encode()])[0][: len(text.encode()) + 3]
+        grams.append(h)
+        if lang is not None:
+            np.add.at(counts[names.index(lang)], h, 1)
+    counts[:, op3._BLANK] = 0
+    like = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * op3.FEATURES))
+    like = np.concatenate([like, np.full((1, op3.FEATURES), -np.log(op3.FEATURES))])
+    like[:, op3._BLANK] = 0
+    score = np.array([like[:, h].sum(axis=1) / (1 + (h != op3._BLANK).sum() / op3.TEMPER) for h in grams])
+    share = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    own = np.array([share(s) if (h != op3._BLANK).any() else 0 * s for s, h in zip(score, grams, strict=True)])
+    total = own.sum(axis=0)
+    base = (total + 1) / (total.sum() + len(total))
+    out = []
+    for i, (s, (_, source)) in enumerate(zip(score, rows, strict=True)):
+        others = sum((own[j] for j, (_, x) in enumerate(rows) if x == source), 0 * total) - own[i]
+        post = share(s + np.log((np.maximum(others, 0) + op3.STRENGTH * base) / (np.maximum(others, 0).sum() + op3.STRENGTH)))
+        out.append(([*names, "und"][int(post.argmax())], float(post.max())) if own[i].any() else ("und", 1.0))
+    return out
+
+
+def test_every_label_has_a_model_as_in_a_plain_loop(spark):
+    import random
+
+    r = random.Random(7)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    own = [["".join(r.choice(alphabet) for _ in range(3)) for _ in range(8)] for _ in range(60)]
+    word = lambda k: "".join(r.choice(own[k]) for _ in range(r.randint(1, 3)))
+    texts = [" ".join(word(i % 60) for _ in range(30)) for i in range(240)] + ["12 34", "abc"]
+    langs = [f"l{i % 60:02d}" if i % 4 else None for i in range(240)] + [None, None]
+    df = docs(spark, texts).withColumn("at", F.col("doc_id")).drop("lang")
+    df = df.join(spark.createDataFrame(list(enumerate(langs)), "doc_id long, lang string"), "doc_id")
+    got = {x.doc_id: x for x in op3.identify(df, spark.createDataFrame([], "page_id long, url string, html string")).collect()}
+    want = plain_posteriors([(t, f"s{i % 3}") for i, t in enumerate(texts)], langs)
+    for i, (language, confidence) in enumerate(want):
+        assert got[i].language == language and abs(got[i].confidence - confidence) < 1e-3, i
+    assert len({got[i].language for i in range(240)}) >= 55
