@@ -75,7 +75,7 @@ def structural_delta(spark, d):
 
 
 def fact_blocks(spark, d):
-    return structure.facts_xml(structure.compute_facts(cases(spark, d))).select(
+    return structure.fact_texts(cases(spark, d)).select(
         "case_id", F.md5("facts_xml").alias("xml_md5"), F.length("facts_xml").cast("bigint").alias("n_chars"))
 
 
