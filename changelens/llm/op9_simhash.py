@@ -48,8 +48,12 @@ def fingerprint(text: bytes) -> int:
     firsts = np.concatenate([[0], ends[:-1] + 1])
     n = len(words) - width + 1
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], 42) for a, b in zip(firsts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return majority(np.fromiter((h(joined[a:b], 42) for a, b in zip(firsts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if set in over half of them."""
+    ones, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -190,11 +194,16 @@ def links(distinct: DataFrame, plan: list[tuple[list[int], int]], tau: int = TAU
     return probes(distinct, plan).repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(run, "a long, b long")
 
 
+def searched(distinct: DataFrame, tau: int = TAU) -> DataFrame:
+    """`links` of distinct fingerprints, the bit groups chosen on a sample of them."""
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    return links(distinct, choose(sample, distinct.count(), tau), tau)
+
+
 def classes(found: DataFrame, tau: int = TAU) -> DataFrame:
     """(fp, root, component_id) for every distinct fingerprint of a stored fingerprint table."""
     distinct = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    star = components(links(distinct, choose(sample, distinct.count(), tau), tau))
+    star = components(searched(distinct, tau))
     rooted = distinct.join(star.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return rooted.join(least, "root").select("fp", "root", "component_id")

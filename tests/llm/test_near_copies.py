@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import xxhash
 from helpers import awkward, docs, prose
 
 from changelens.llm import near_copies, op9_simhash
@@ -94,3 +95,30 @@ def test_one_large_group_of_near_copies_and_boilerplate(spark):
     root = roots_of(spark, texts + unlike)
     assert sum(root[i] == root[j] for i, j in pairs) >= 0.999 * len(pairs)
     assert len({root[len(texts) + i] for i in range(200)}) == 200
+
+
+def plain_bits(text):
+    hashes = [xxhash.xxh64_intdigest(b" ".join(x), 5) for x in plain_set(text)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_the_pigeonhole_search_links_without_minhash(spark, monkeypatch):
+    r, texts = random.Random(4), ["", None, "one two", "one two three"]
+    for s in range(25):
+        words = prose(300, s).split()
+        for n in (0, 1, 2, 6):
+            copy = list(words)
+            for at in r.sample(range(300), n):
+                copy[at] = f"edit{r.random()}"
+            texts.append(" ".join(copy))
+    sets, bits = [plain_set(t) for t in texts], [plain_bits(t) for t in texts]
+    alike = lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike(i, j) and (bits[i] ^ bits[j]).bit_count() <= near_copies.TAU]
+    monkeypatch.setattr(near_copies, "LEVELS", 0)
+    root = roots_of(spark, texts)
+    # a forest of the close ones is checked: a link of it that is not alike may stand for one that is, which MinHash finds
+    assert len(pairs) > 40 and sum(root[i] == root[j] for i, j in pairs) >= 0.9 * len(pairs)
+    assert len(set(root.values())) >= 25
+    monkeypatch.undo()
+    whole = roots_of(spark, texts)
+    assert all(whole[i] == whole[j] for i, j in pairs)
