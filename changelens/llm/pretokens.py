@@ -56,10 +56,14 @@ class Encoder:
         return out
 
 
+#: Chunks that a Python process keeps beside the tasks of all later steps: about 50 MB. Most chunks stand in one text only.
+KEPT = 200_000
+
+
 class Memo:
     """Ids of the chunks seen by this Python process, kept across its tasks; emptied at `most` chunks."""
 
-    def __init__(self, encoder: Encoder, most: int = 1_000_000):
+    def __init__(self, encoder: Encoder, most: int = KEPT):
         self.encoder, self.most = encoder, most
         self._empty()
 

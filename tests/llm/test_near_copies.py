@@ -6,7 +6,7 @@ import corpus_pipeline
 import xxhash
 from helpers import awkward, docs, prose
 
-from changelens.llm import near_copies, op9_simhash
+from changelens.llm import components, near_copies, op9_simhash
 
 
 def plain_set(text):
@@ -122,3 +122,23 @@ def test_the_pigeonhole_search_links_without_minhash(spark, monkeypatch):
     monkeypatch.undo()
     whole = roots_of(spark, texts)
     assert all(whole[i] == whole[j] for i, j in pairs)
+
+
+def test_merged_components_are_those_of_all_links(spark, monkeypatch):
+    r, rounds, root = random.Random(9), [], {}
+    turns = [[(r.randrange(300), r.randrange(300)) for _ in range(60)] + [(i, i + 1) for i in range(400, 410)], [(r.randrange(300), 405 + i) for i in range(9)] + [(5, 5)]]
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    star = components.components(frame([]))
+    large = components._large
+    for links in turns:
+        star = components.merged(star, frame(links))
+        for a, b in links:
+            a, b = root.setdefault(a, {a}), root.setdefault(b, {b})
+            if a is not b:
+                a |= b
+                for x in b:
+                    root[x] = a
+        assert {(x.a, x.b) for x in star.collect()} == {(x, min(s)) for x, s in root.items() if x != min(s)}
+    monkeypatch.setattr(components, "_large", lambda e: (rounds.append(1), large(e))[1])
+    assert components.components(star).count() == star.count() and not rounds  # stars need no turn
+    assert components.merged(star, frame([(x.b, x.a) for x in star.collect()])) is star and not rounds  # nor do links inside components

@@ -96,3 +96,23 @@ def test_sequence_files_awkward(spark, tokenizer, tmp_path):
     assert key(got) == key(want)
     empty = op4.write_sequences(df.limit(0), f"{tmp_path}/b", PATH)
     assert op4.read_documents(empty, f"{tmp_path}/b").count() == 0
+
+
+def test_the_memo_of_a_task_process_stays_small():
+    import tracemalloc
+
+    from changelens.llm.pretokens import Memo
+
+    class Plain:
+        def encode(self, found):
+            return [[len(c), int(c[1:]) % 251] for c in found]
+
+    tracemalloc.start()
+    held = Memo(Plain())
+    for at in range(0, 600_000, 20_000):  # chunks that stand in one text only, and a common one
+        found = held.ids([b" ".join(b"x%d" % i for i in range(at, at + 20_000)) + b" x7", b"x7 x8"])
+        assert found[0].tolist()[:2] == [len(f"x{at}"), at % 251] and found[0].tolist()[-2:] == [2, 7]
+        assert found[1].tolist() == [2, 7, 2, 8]
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 40 << 20
