@@ -116,3 +116,41 @@ def test_the_memo_of_a_task_process_stays_small():
     size = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert size < 40 << 20
+
+
+def test_the_memo_keeps_what_many_texts_hold():
+    from changelens.llm.pretokens import Memo
+
+    class Plain:
+        def __init__(self):
+            self.seen = Counter()
+
+        def encode(self, found):
+            self.seen.update(found)
+            return [[len(c), int(c[1:]) % 251] for c in found]
+
+    plain = Plain()
+    held = Memo(plain, 1000)
+    common = [b"c%d" % i for i in range(300)]
+    for at in range(0, 20_000, 100):
+        rare = [b"x%d" % i for i in range(at, at + 100)]
+        found = held.ids([b" ".join(common + rare), b"", b"c7"])
+        assert found[0].reshape(-1, 2).tolist() == [[len(c), int(c[1:]) % 251] for c in common + rare]
+        assert found[1].tolist() == [] and found[2].tolist() == [2, 7]
+        assert held.n == len(held.place) <= 1000 + 400
+    assert {plain.seen[c] for c in common} == {1}
+
+
+def test_chunks_encode_as_the_library_does(tokenizer):
+    from changelens.llm.pretokens import Encoder, Memo
+
+    chunks = "the naïve É Éç straße ÿ ÷ a÷b ×é a×b ét́e é́ the!!! été$$$ don't don' d's 's é's x'' a. a.b KK ŝ İx ﬁ ж жук! 日本 ½ ²a a² 12 a1 a_b a_ é_ <| a<|endoftext|> <|endoftext|> <|startoftext|>é É<|endoftext|>! Abc ABC!"
+    found = [c.encode() for c in chunks.split(" ")]
+    encoder = Encoder(PATH)
+    want = [tokenizer.encode(c.decode(), add_special_tokens=False).ids for c in found]
+    assert encoder.encode(found) == want and encoder.encode([]) == []
+    texts = [chunks, chunks.replace("<|", "< |"), chunks.upper(), ""]
+    assert [i.tolist() for i in Memo(encoder).ids([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    texts, encoder._texts = encoder._texts, lambda found: texts(found) if {*found} <= {b"!", b"$$"} else pytest.fail(f"{found} by the whole library")
+    assert encoder.encode([c.encode() for c in "été straße! Ça$$ the!".split()]) == [tokenizer.encode(c, add_special_tokens=False).ids for c in "été straße! Ça$$ the!".split()]
