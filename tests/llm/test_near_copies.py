@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import xxhash
 from helpers import awkward, docs, prose
 
@@ -142,3 +143,34 @@ def test_merged_components_are_those_of_all_links(spark, monkeypatch):
     monkeypatch.setattr(components, "_large", lambda e: (rounds.append(1), large(e))[1])
     assert components.components(star).count() == star.count() and not rounds  # stars need no turn
     assert components.merged(star, frame([(x.b, x.a) for x in star.collect()])) is star and not rounds  # nor do links inside components
+
+
+def test_no_link_is_lost_among_documents_just_below_the_similarity(spark):
+    r, texts = random.Random(1), []
+    shared = [f"c{i}" for i in range(176)]
+    for i in range(100):  # two and two are alike (0.85), all others share almost as much (0.78)
+        both = [f"b{i}x{k}" for k in range(8)]
+        texts += [" ".join([*shared, *both, *(f"u{i}x{s}x{k}" for k in range(16))]) for s in range(2)]
+    for i in range(40):  # sizes apart as far as they may be
+        words = [f"w{i}x{k}" for k in range(r.randint(5, 60))]
+        texts += [" ".join(words), " ".join([*words, *(f"v{i}x{k}" for k in range(len(words) // 4 - r.randint(0, 1)))])]
+    root, sets = roots_of(spark, texts), [plain_set(t) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    least = list(range(len(texts)))
+    for i, j in alike:
+        least = [least[j] if x == least[i] else x for x in least]
+    assert len(alike) > 100 and len(set(least)) == len({(root[i], least[i]) for i in range(len(texts))}) == len(set(root.values()))
+
+
+def test_sets_at_the_similarity_share_one_of_their_first_shingles():
+    r = np.random.default_rng(3)
+    for n in [*range(1, 40), 400]:
+        pool = np.unique(r.integers(0, 2**63, 2 * n + 9).astype(np.uint64))
+        listed = np.sort(r.choice(pool, len(pool) // 3, replace=False))
+        for often in (r.integers(3, 9, len(listed)), np.zeros(len(listed), int)):
+            order = r.permutation(pool)
+            for cut in range(n // 5 + 2):  # n in common or fewer, the rest on one side or on both
+                a, b = np.sort(order[: n - cut // 2]), np.sort(np.concatenate([order[: n - cut], order[n : n + cut // 2]]))
+                if len(a) and len(b) and near_copies.jaccard(a, b) >= near_copies.JACCARD:
+                    assert len(np.intersect1d(near_copies.first_shingles(a, listed, often), near_copies.first_shingles(b, listed, often)))
+    assert len(near_copies.first_shingles(np.zeros(0, np.uint64), listed, often)) == 0
